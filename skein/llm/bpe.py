@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
 MEMORY_WORDS, SAMPLE_DOCS = 400_000, 20_000
 #: No merge; above every rank.
-NONE = 1 << 30
+NONE = 1 << 17
+#: A piece is its pair's rank, its first byte's place and its id in one number; bits of the id, and of place and id.
+ID_BITS, LOW_BITS = 17, 45
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 #: Pairs sit in a table by a product hash; those whose place is taken sit in the next table.
@@ -32,6 +34,11 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
+def bind(value: Column, zero: Column, f) -> Column:
+    """f(zero, value) with the value computed once. An item taken from an array would derive its type at each call."""
+    return F.aggregate(F.array(value), zero, f)
+
+
 def pair_tables(ranks: dict[bytes, int]) -> list[list]:
     """The rank of every pair of tokens whose bytes join to a token, as tables of pair * 2^17 + rank."""
     pairs = []
@@ -65,47 +72,48 @@ class Ranks:
         self.pieces = ranks
         tables = pair_tables(ranks)
         self.tables = [F.from_json(F.lit(json.dumps(t, separators=(",", ":"))), "array<bigint>") for t in tables]
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     def rank(self, a: Column, b: Column) -> Column:
-        key = F.shiftleft(a.cast("long"), 17) + b
-        out = F.lit(NONE)
+        key = F.shiftleft(a, 17) + b
+        out = F.lit(NONE).cast("long")
         for table, size, (x, y) in reversed(list(zip(self.tables, SIZES, FACTORS))):
-            entry = F.get(table, F.pmod(a.cast("long") * x + b * y, F.lit(size)).cast("int"))
-            out = F.transform(F.array(entry), self._read(key, out)).getItem(0)
+            entry = F.get(table, F.pmod(a * x + b * y, F.lit(size)).cast("int"))
+            out = bind(entry, F.lit(NONE).cast("long"), self._read(key, out))
         return out
 
     @staticmethod
     def _read(key: Column, rest: Column):
-        return lambda v: F.when(v.isNull(), F.lit(NONE)).when(F.shiftright(v, 17) == key, v.bitwiseAND(F.lit((1 << 17) - 1).cast("long")).cast("int")).otherwise(rest)
+        rank = lambda v: v.bitwiseAND(F.lit((1 << 17) - 1).cast("long"))
+        return lambda _, v: F.when(v.isNull(), F.lit(NONE).cast("long")).when(F.shiftright(v, 17) == key, rank(v)).otherwise(rest)
 
     def fold(self, word: Column) -> Column:
-        """array<int>: the ids of one word. Its bytes' ids are merged pair by pair, lowest rank first, leftmost first."""
-        raw = F.hex(F.encode(word, "UTF-8"))
-        start = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda i: F.get(self.bytes, F.conv(F.substring(raw, i, 2), 16, 10).cast("int")))
-
-        def begin(ids):
-            pairs = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), self.rank)
-            return F.struct(ids.alias("ids"), pairs.alias("ranks"))
+        """array<bigint>: the ids of one word. Its bytes' ids are merged pair by pair, lowest rank first, leftmost first.
+
+        A state is one number for each piece: the rank of its pair with the next piece, its place, its id. The
+        least number is the pair to merge, the leftmost of its rank, and its rank is the merged id. (Places are
+        found by counting, as array_position leaves by an exception.)
+        """
+        raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a letter for each byte
+        place = lambda v: F.shiftright(v, ID_BITS).bitwiseAND(F.lit((1 << LOW_BITS - ID_BITS) - 1).cast("long"))
+        its_id = lambda v: v.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+        start = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.shiftleft(i.cast("long"), ID_BITS) + F.get(self.bytes, F.ascii(F.substring(raw, i, F.lit(1)))))
+        pack = lambda low, a, b: F.shiftleft(F.when(b.isNull(), F.lit(NONE).cast("long")).otherwise(self.rank(a, b)), LOW_BITS) + F.shiftleft(place(low), ID_BITS) + a
 
         def step(acc, _):
-            ids, ranks = acc["ids"], acc["ranks"]
-
-            def merge(x):
-                low, at = x["low"], x["at"]
-                around = F.array(F.struct(F.get(ids, at - 2).alias("a"), low.alias("b")), F.struct(low.alias("a"), F.get(ids, at + 1).alias("b")))
-                fresh = F.transform(F.filter(around, lambda p: p["a"].isNotNull() & p["b"].isNotNull()), lambda p: self.rank(p["a"], p["b"]))
-                return F.struct(
-                    F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), fresh, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-                )
-
-            low = F.array_min(ranks)
-            place = F.array(F.struct(low.alias("low"), F.array_position(ranks, low).cast("int").alias("at")))
-            return F.when(F.coalesce(low, F.lit(NONE)) >= NONE, acc).otherwise(F.transform(place, merge).getItem(0))
-
-        folded = F.transform(F.array(start), lambda ids: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), begin(ids), step, lambda acc: acc["ids"]))
-        return folded.getItem(0)
+            return bind(F.array_min(acc), acc, lambda state, least: F.when(least >= NONE << LOW_BITS, state).otherwise(bind(index(state, least), state, lambda state, at: merge(state, least, at))))
+
+        def index(state, least):
+            return F.size(F.filter(state, lambda e: place(e) < place(least)))
+
+        def merge(state, least, at):
+            new, after = F.shiftright(least, LOW_BITS), its_id(F.get(state, at + 2))
+            fresh = lambda e, i: pack(e, F.when(i == at, new).otherwise(its_id(e)), F.when(i == at, after).otherwise(new))
+            return F.transform(F.filter(state, lambda e, i: i != at + 1), lambda e, i: F.when((i == at) | (i == at - 1), fresh(e, i)).otherwise(e))
+
+        begin = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda x, y: pack(x, its_id(x), its_id(y)))
+        none = F.array().cast("array<bigint>")
+        return bind(start, none, lambda _, v: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), begin(v), step, lambda acc: F.transform(acc, its_id)))
 
 
 def remembered(docs: DataFrame, ranks: Ranks, pattern: str) -> pa.Table:
