@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
-MEMORY_WORDS, SAMPLE_DOCS = 400_000, 20_000
+MEMORY_WORDS, SAMPLE_DOCS = 1_000_000, 60_000
 #: No merge; above every rank.
 NONE = 1 << 17
 #: A piece is its pair's rank, its first byte's place and its id in one number; bits of the id, and of place and id.
