@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import chunks, utf8
 
 #: Steps of the random walk that a key may look at, sampled steps in a key, and keys (walks) per window.
-STEPS, SAMPLED, REPEATS = 64, 32, 1
+STEPS, SAMPLED, REPEATS = 64, 24, 3
 #: A window is a hit if its edit distance is at most this share of the item.
 MOST_EDITS = 0.2
 #: So many items go through the documents at once.
