@@ -1,0 +1,339 @@
+"""Raw platform records (raw JSON, path, member) to canonical tables, by column expressions and joins only."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skein import schema
+from skein.functions import text as tx
+from skein.functions.values import any_time, epoch_millis, epoch_seconds, point, positive, to_bool, to_int, twitter_time
+
+
+def j(path: str) -> Column:
+    """A field of the record; blank, nan and none are null."""
+    v = F.get_json_object("raw", f"$.{path}")
+    return F.when(~F.lower(F.trim(v)).isin("", "nan", "none"), v)
+
+
+def n(path: str) -> Column:
+    return to_int(j(path))
+
+
+def rows(df: DataFrame, table: str, when: Column | None = None, **values: Column) -> DataFrame:
+    """Rows of a table from records; columns not given are null, times are created_at (retrieved_at alike)."""
+    df = df if when is None else df.where(when)
+    values.setdefault("retrieved_at", values.get("created_at"))
+    return df.select(*[values[c].cast(kind).alias(c) if c in values else F.lit(None).cast(kind).alias(c) for c, kind in schema.columns(table)])
+
+
+def texts(df: DataFrame, body: Column, when: Column | None = None, **ids: Column) -> DataFrame:
+    """HASHTAG, USER_TAG, EMAIL and LINK entities of a text."""
+    df = df if when is None else df.where(when)
+    kinds = {"HASHTAG": tx.extract_hashtags(body), "USER_TAG": tx.extract_mentions(body), "EMAIL": tx.extract_emails(body), "LINK": tx.extract_urls(body)}
+    found = F.flatten(F.array(*[_tagged(a, k) for k, a in kinds.items()]))
+    return rows(df.withColumn("_e", F.explode(found)), "entities", body=F.col("_e.v"), entity_type=F.col("_e.k"), **ids)
+
+
+def _tagged(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("k"), x.alias("v")))
+
+
+def listed(df: DataFrame, values: Column, kind: str, **ids: Column) -> DataFrame:
+    return rows(df.withColumn("_v", F.explode(values)).where(F.col("_v") != ""), "entities", body=F.col("_v"), entity_type=F.lit(kind), **ids)
+
+
+def strings(path: str) -> Column:
+    return F.from_json(F.get_json_object("raw", f"$.{path}"), "array<string>")
+
+
+def literal_list(path: str) -> Column:
+    """A Python list literal of strings."""
+    return F.transform(F.split(F.regexp_replace(F.coalesce(j(path), F.lit("")), r"^\s*\[|\]\s*$", ""), r",\s*"), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", ""))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def named(*names: str) -> Column:
+    """Whether the member or path names one of these parts."""
+    place = F.lower(F.coalesce(F.col("member"), F.col("path"), F.lit("")))
+    return reduce(lambda a, b: a | b, [place.contains(x) for x in names])
+
+
+def action(df: DataFrame, kind: str | Column, when: Column | None = None, **values: Column) -> DataFrame:
+    return rows(df, "actions", when, action_type=F.lit(kind) if isinstance(kind, str) else kind, **values)
+
+
+def twitter_v1(raw: DataFrame) -> dict[str, DataFrame]:
+    nested = [raw.select(F.get_json_object("raw", f"$.{p}").alias("raw"), "path", "member").where("raw is not null") for p in ("retweeted_status", "quoted_status", "retweeted_status.quoted_status")]
+    all_ = union([raw, *nested])
+    at, user, post = twitter_time(j("created_at")), j("user.id_str"), j("id_str")
+    body = F.when(to_bool(F.coalesce(j("truncated"), F.lit("false"))), F.coalesce(j("extended_tweet.full_text"), j("text"))).otherwise(F.coalesce(j("full_text"), j("text")))
+    xy = [F.get_json_object("raw", f"$.coordinates.coordinates[{k}]").try_cast("double") for k in (0, 1)]
+    me = {"originator_account_id": user, "originator_post_id": post, "created_at": at}
+    media = F.from_json(F.coalesce(F.get_json_object("raw", "$.extended_entities.media"), F.get_json_object("raw", "$.entities.media")), "array<struct<type:string,media_url_https:string>>")
+    of_media = all_.withColumn("_m", F.explode(media))
+    tags, names = (F.from_json(F.get_json_object("raw", f"$.entities.{k}"), f"array<struct<{f}:string>>") for k, f in (("hashtags", "text"), ("user_mentions", "id_str")))
+    ids = {"account_id": user, "post_id": post, "created_at": at}
+    links = F.from_json(F.get_json_object("raw", "$.entities.urls"), "array<struct<expanded_url:string>>")
+    shared = j("retweeted_status.id_str").isNotNull() | j("text").startswith("RT @")
+    first = F.get_json_object("raw", "$.entities.user_mentions[0].id_str")
+    return {
+        "accounts": rows(all_, "accounts", account_id=user, username=j("user.screen_name"), profile_name=j("user.name"), bio=j("user.description"), post_count=n("user.statuses_count"), friend_count=n("user.friends_count"), follower_count=n("user.followers_count"), is_verified=to_bool(j("user.verified")), profile_image_url=j("user.profile_image_url_https"), created_at=twitter_time(j("user.created_at")), retrieved_at=at),
+        "posts": rows(all_, "posts", account_id=user, post_id=post, conversation_id=j("in_reply_to_status_id_str"), body=body, like_count=n("favorite_count"), share_count=n("retweet_count"), quote_count=n("quote_count"), comment_count=n("reply_count"), location=point(*xy), created_at=at),
+        "entities": union([
+            texts(all_, body, **ids), listed(all_, F.transform(tags, lambda t: F.lower(t["text"])), "HASHTAG", **ids), listed(all_, F.transform(names, lambda t: t["id_str"]), "USER_TAG", **ids), listed(all_, F.transform(links, lambda t: t["expanded_url"]), "LINK", **ids),
+            rows(of_media, "entities", body=F.col("_m.media_url_https"), entity_type=F.when(F.col("_m.type") == "photo", "IMAGE").otherwise("VIDEO"), **ids),
+        ]),
+        "actions": union([
+            action(all_, "COMMENT", j("in_reply_to_status_id_str").isNotNull(), target_account_id=j("in_reply_to_user_id_str"), target_post_id=j("in_reply_to_status_id_str"), **me),
+            action(all_, "QUOTE", j("quoted_status_id_str").isNotNull() & ~F.coalesce(shared, F.lit(False)), target_account_id=j("quoted_status.user.id_str"), target_post_id=j("quoted_status_id_str"), **me),
+            action(all_, "SHARE", shared, target_account_id=F.coalesce(j("retweeted_status.user.id_str"), first), target_post_id=j("retweeted_status.id_str"), **me),
+        ]),
+    }
+
+
+USER_V2 = "array<struct<id:string,username:string,name:string,description:string,created_at:string,verified:boolean,profile_image_url:string,public_metrics:struct<tweet_count:bigint,following_count:bigint,followers_count:bigint>>>"
+TWEET_V2 = "struct<id:string,author_id:string,created_at:string,text:string,conversation_id:string,public_metrics:struct<like_count:bigint,retweet_count:bigint,reply_count:bigint,quote_count:bigint,impression_count:bigint,bookmark_count:bigint>>"
+REFS_V2 = f"array<struct<type:string,id:string,tweet:{TWEET_V2}>>"
+
+
+def twitter_v2(raw: DataFrame) -> dict[str, DataFrame]:
+    main = F.coalesce(F.get_json_object("raw", "$.data"), F.col("raw"))
+    df = raw.select("*", F.from_json(main, TWEET_V2).alias("t"), F.from_json(F.get_json_object(main, "$.referenced_tweets"), REFS_V2).alias("refs"), F.from_json(F.get_json_object("raw", "$.includes.users"), USER_V2).alias("users"), F.from_json(F.get_json_object("raw", "$.includes.tweets"), f"array<{TWEET_V2}>").alias("more"), any_time(j("__twarc.retrieved_at")).alias("got"))
+    refs = df.select("*", F.explode("refs").alias("r")).withColumn("o", F.coalesce(F.col("r.tweet"), F.get(F.filter("more", lambda x: x["id"] == F.col("r.id")), F.lit(0))))
+    tweets = df.select("t", "got", "users").union(refs.where("o is not null").select(F.col("o").alias("t"), "got", "users"))
+    at = any_time(F.col("t.created_at"))
+    ids = {"account_id": F.col("t.author_id"), "post_id": F.col("t.id"), "created_at": at}
+    users = df.select(F.explode("users").alias("u"), "got")
+    m = lambda k: F.col(f"t.public_metrics.{k}")
+    kind = F.create_map(*[F.lit(x) for p in (("replied_to", "COMMENT"), ("quoted", "QUOTE"), ("retweeted", "SHARE")) for x in p])
+    return {
+        "accounts": rows(users, "accounts", any_time(F.col("u.created_at")).isNotNull(), account_id=F.col("u.id"), username=F.col("u.username"), profile_name=F.col("u.name"), bio=F.col("u.description"), is_verified=F.col("u.verified"), profile_image_url=F.col("u.profile_image_url"), post_count=F.col("u.public_metrics.tweet_count"), friend_count=F.col("u.public_metrics.following_count"), follower_count=F.col("u.public_metrics.followers_count"), created_at=any_time(F.col("u.created_at")), retrieved_at=F.col("got")),
+        "posts": rows(tweets, "posts", body=F.col("t.text"), conversation_id=F.col("t.conversation_id"), like_count=m("like_count"), share_count=m("retweet_count"), comment_count=m("reply_count"), quote_count=m("quote_count"), view_count=m("impression_count"), bookmark_count=m("bookmark_count"), retrieved_at=F.col("got"), **ids),
+        "entities": texts(tweets, F.col("t.text"), **ids),
+        "actions": action(refs, kind[F.col("r.type")], kind[F.col("r.type")].isNotNull(), originator_account_id=F.col("t.author_id"), originator_post_id=F.col("t.id"), target_account_id=F.col("o.author_id"), target_post_id=F.col("r.id"), created_at=at),
+    }
+
+
+def twitter_usc(raw: DataFrame) -> dict[str, DataFrame]:
+    at, body = epoch_seconds(j("epoch")), F.coalesce(j("text"), j("rawContent"))
+    user, post = F.coalesce(j("user__id_str"), j("user_id")), F.coalesce(j("id_str"), j("id"))
+    ids = {"account_id": user, "post_id": post, "created_at": at}
+    me = {"originator_account_id": user, "originator_post_id": post, "created_at": at}
+    name = F.regexp_extract(F.coalesce(j("url"), F.lit("")), r"(?:twitter|x)\.com/([^/]+)/", 1)
+    names = F.transform(F.split(F.coalesce(j("mentionedUsers"), F.lit("")), ","), F.trim)
+    return {
+        "accounts": rows(raw, "accounts", account_id=user, username=F.when(name != "", name), created_at=F.coalesce(any_time(j("user__created")), at), retrieved_at=at),
+        "posts": rows(raw, "posts", body=body, conversation_id=j("conversationId"), like_count=n("likeCount"), share_count=F.coalesce(n("retweetCount"), n("retruthCount")), quote_count=n("quoteCount"), comment_count=n("replyCount"), view_count=n("viewCount"), **ids),
+        "entities": union([texts(raw, F.concat_ws(" ", j("text"), j("rawContent")), **ids), listed(raw, names, "USER_TAG", **ids)]),
+        "actions": union([action(raw, "COMMENT", j("in_reply_to_status_id_str").isNotNull(), target_post_id=j("in_reply_to_status_id_str"), target_account_id=j("in_reply_to_user_id_str"), **me), action(raw, "SHARE", j("retweetedTweetID").isNotNull(), target_post_id=j("retweetedTweetID"), target_account_id=j("retweetedUserID"), **me)]),
+    }
+
+
+def truthsocial(raw: DataFrame) -> dict[str, DataFrame]:
+    """State kept between files becomes joins, so the order of files does not matter."""
+    at = any_time(j("timestamp"))
+    truths = raw.where(named("truths")).select("*", j("id").alias("id"), j("author").alias("author"), at.alias("at"))
+    kept = {"account_id": F.col("author"), "post_id": F.col("id"), "created_at": F.col("at")}
+    me = {"originator_account_id": F.col("author"), "originator_post_id": F.col("id"), "created_at": F.col("at")}
+    zero = lambda k: F.coalesce(n(k), F.lit(0))
+    of = truths.select(F.col("id").alias("o_id"), F.col("author").alias("o_author"))
+    replies = raw.where(named("replies")).select(j("replying_user").alias("author"), j("replied_user").alias("to")).groupBy("author").agg(F.max("to").alias("to"))
+    quotes = raw.where(named("quotes"))
+    external = truths.select(j("external_id").alias("ext"), F.col("id").alias("t_id")).where("ext is not null").dropDuplicates(["ext"])
+    quoted = quotes.select("*", j("quoted_truth_external_id").alias("ext")).join(external, "ext", "left")
+    get = any_time(j("time_scraped"))
+    return {
+        "accounts": rows(raw, "accounts", named("users"), account_id=j("id"), username=j("username"), follower_count=F.when(n("follower_count") >= 0, n("follower_count")), friend_count=F.when(n("following_count") >= 0, n("following_count")), created_at=F.coalesce(at, get), retrieved_at=get),
+        "posts": rows(truths, "posts", body=j("text"), like_count=zero("like_count"), share_count=zero("retruth_count"), comment_count=zero("reply_count"), **kept),
+        "entities": texts(truths, j("text"), **kept),
+        "actions": union([
+            action(truths.where(to_bool(j("is_retruth"))).withColumn("o_id", j("truth_retruthed")).join(of, "o_id"), "SHARE", target_account_id=F.col("o_author"), target_post_id=F.col("o_id"), **me),
+            action(truths.where(to_bool(j("is_reply"))).join(replies, "author"), "COMMENT", target_account_id=F.col("to"), **me),
+            action(quoted, "QUOTE", originator_account_id=j("quoting_user"), originator_post_id=j("quoting_truth"), target_account_id=j("quoted_user"), target_post_id=F.coalesce("t_id", "ext"), created_at=get),
+            action(raw, "FOLLOW", named("follows"), originator_account_id=j("follower"), target_account_id=j("followed"), created_at=get),
+        ]),
+    }
+
+
+def truthsocial_usc(raw: DataFrame) -> dict[str, DataFrame]:
+    name = lambda c: F.concat(F.lit("TRUTHSOCIAL_USC_"), F.lower(F.regexp_replace(c, "^@", "")))
+    user, post, at = name(j("username")), j("id"), any_time(j("timestamp"))
+    ids = {"account_id": user, "post_id": post, "created_at": at}
+    to = raw.withColumn("_to", F.explode(literal_list("replying_to"))).where("_to <> ''")
+    lists = {"HASHTAG": "hashtags", "USER_TAG": "mentions", "LINK": "urls", "VIDEO": "videos"}
+    return {
+        "accounts": rows(raw, "accounts", account_id=user, username=F.lower(F.regexp_replace(j("username"), "^@", "")), created_at=at),
+        "posts": rows(raw, "posts", body=j("status"), like_count=n("like_count"), share_count=n("retruth_count"), comment_count=n("reply_count"), **ids),
+        "entities": union([*[listed(raw, F.transform(literal_list(p), lambda x: F.regexp_replace(x, "^[#@]", "")), k, **ids) for k, p in lists.items()], listed(raw, tx.extract_emails(j("status")), "EMAIL", **ids)]),
+        "actions": action(to, "COMMENT", originator_account_id=user, originator_post_id=post, target_account_id=name(F.col("_to")), created_at=at),
+    }
+
+
+def _did(uri: Column) -> Column:
+    did = F.regexp_extract(F.coalesce(uri, F.lit("")), r"^(?:at://)?(did:[^/]+)", 1)
+    return F.when(did != "", did)
+
+
+def _key(uri: Column) -> Column:
+    return F.when(uri.contains("/"), F.element_at(F.split(uri, "/"), -1))
+
+
+def bluesky_api(raw: DataFrame) -> dict[str, DataFrame]:
+    r = lambda p: F.coalesce(j(f"record.{p}"), j(f"value.{p}"), j(p))
+    kind = F.coalesce(F.get_json_object("raw", "$.record['$type']"), F.get_json_object("raw", "$.value['$type']"), F.get_json_object("raw", "$['$type']"))
+    user = F.coalesce(j("author.did"), j("author"), j("did"), _did(j("uri")))
+    user = F.when(user.startswith("{"), F.get_json_object(user, "$.did")).otherwise(user)
+    at, post = any_time(r("createdAt")), _key(j("uri"))
+    ids = {"account_id": user, "post_id": post, "created_at": at}
+    me = {"originator_account_id": user, "originator_post_id": post, "created_at": at}
+    posts, facets = raw.where(kind == "app.bsky.feed.post"), F.coalesce(F.get_json_object("raw", "$.record.facets"), F.get_json_object("raw", "$.facets"))
+    found = posts.withColumn("_f", F.explode(F.flatten(F.transform(F.from_json(facets, "array<struct<features:array<struct<tag:string,did:string,uri:string>>>>"), lambda f: f["features"]))))
+    images = F.transform(F.from_json(F.coalesce(F.get_json_object("raw", "$.embed.images"), F.get_json_object("raw", "$.record.embed.images")), "array<struct<fullsize:string,thumb:string,url:string,image:string>>"), lambda i: F.coalesce(i["fullsize"], i["url"], i["thumb"], i["image"]))
+    to = lambda p, when, k, df=raw: action(df, k, when & r(p).isNotNull(), target_account_id=_did(r(p)), target_post_id=_key(r(p)), **me)
+    users = kind.isNull() & (j("handle").isNotNull()) | kind.contains("actor")
+    return {
+        "accounts": rows(raw, "accounts", F.coalesce(users, F.lit(False)), account_id=j("did"), username=j("handle"), profile_name=j("displayName"), bio=j("description"), follower_count=n("followersCount"), friend_count=n("followsCount"), post_count=n("postsCount"), profile_image_url=j("avatar"), created_at=at),
+        "posts": rows(posts, "posts", body=r("text"), conversation_id=_key(r("reply.root.uri")), like_count=n("likeCount"), share_count=n("repostCount"), comment_count=n("replyCount"), quote_count=n("quoteCount"), **ids),
+        "entities": union([
+            rows(found, "entities", F.coalesce("_f.tag", "_f.did", "_f.uri").isNotNull(), body=F.coalesce(F.lower(F.ltrim(F.col("_f.tag"), F.lit("#"))), F.col("_f.did"), F.col("_f.uri")), entity_type=F.when(F.col("_f.tag").isNotNull(), "HASHTAG").when(F.col("_f.did").isNotNull(), "USER_TAG").otherwise("LINK"), **ids),
+            listed(posts, images, "IMAGE", **ids), listed(posts, tx.extract_emails(r("text")), "EMAIL", **ids),
+        ]),
+        "actions": union([
+            to("reply.parent.uri", kind == "app.bsky.feed.post", "COMMENT"), to("embed.record.uri", kind == "app.bsky.feed.post", "QUOTE"), to("subject.uri", kind == "app.bsky.feed.repost", "SHARE"), to("subject.uri", kind == "app.bsky.feed.like", "UPVOTE"),
+            to("subject", kind == "app.bsky.graph.follow", "FOLLOW"), to("subject", kind == "app.bsky.graph.block", "BLOCK"),
+        ]),
+    }
+
+
+def bluesky_dataset(raw: DataFrame) -> dict[str, DataFrame]:
+    """Arrays: interactions [who, replied, thread root, reposted, quoted, date], likes [who, whose, post, date]; posts are objects."""
+    a = F.from_json("raw", "array<string>")
+    df = raw.withColumn("a", a)
+    at = lambda k: F.when(F.get("a", F.lit(k)) != "", F.get("a", F.lit(k)))
+    inter, likes, posts = df.where(named("interactions")), df.where(named("likes")), df.where(~named("interactions", "likes"))
+    when = any_time(at(5))
+    best = F.when(at(1).isNotNull(), F.struct(F.lit("COMMENT").alias("k"), at(1).alias("to"))).when(at(3).isNotNull(), F.struct(F.lit("SHARE").alias("k"), at(3).alias("to"))).when(at(4).isNotNull(), F.struct(F.lit("QUOTE").alias("k"), at(4).alias("to")))
+    made = inter.withColumn("b", best).where("b is not null")
+    bare = inter.withColumn("u", F.explode(F.array_distinct(F.slice("a", 1, 5)))).where("u <> ''")
+    p_at, user, post = any_time(j("date")), j("user_id"), j("post_id")
+    ids = {"account_id": user, "post_id": post, "created_at": p_at}
+    return {
+        "accounts": union([rows(bare, "accounts", account_id=F.col("u"), created_at=when), rows(posts, "accounts", account_id=user, created_at=p_at)]),
+        "posts": rows(posts, "posts", body=j("text"), conversation_id=j("thread_root"), like_count=n("like_count"), share_count=n("repost_count"), comment_count=n("reply_count"), **ids),
+        "entities": texts(posts, j("text"), **ids),
+        "actions": union([action(made, F.col("b.k"), originator_account_id=at(0), target_account_id=F.col("b.to"), created_at=when), action(likes, "UPVOTE", originator_account_id=at(0), target_account_id=at(1), target_post_id=at(2), created_at=any_time(at(3)))]),
+    }
+
+
+def _forum(raw: DataFrame, is_group: Column, is_comment: Column, user: Column, at: Column, group: Column, home: Column, comment: Column, body: Column, title: Column, parent: Column, likes: Column, dislikes: Column, also_home: bool) -> dict[str, DataFrame]:
+    """Submissions are communities linked to a channel; comments are posts in them."""
+    groups, comments = raw.where(is_group), raw.where(is_comment)
+    of_group, of_comment = {"account_id": user, "community_id": group, "created_at": at}, {"account_id": user, "post_id": comment, "created_at": at}
+    me = {"originator_account_id": user, "originator_post_id": comment, "created_at": at}
+    actions = [action(groups, "LINK", originator_account_id=user, originator_community_id=group, target_community_id=home, created_at=at), action(comments, "COMMENT", target_community_id=parent, **me)]
+    if also_home:
+        actions.append(action(comments, "COMMENT", target_community_id=home, **me))
+    return {
+        "communities": rows(groups, "communities", community_id=group, community_type=F.lit("GROUP"), community_name=title, bio=body, owner_account_id=user, post_count=n("num_comments"), created_at=at),
+        "posts": rows(comments, "posts", body=body, community_id=home, conversation_id=parent, like_count=F.when(likes >= 0, likes), dislike_count=F.when(dislikes >= 0, dislikes), **of_comment),
+        "entities": union([texts(groups, F.concat_ws(" ", title, body), **of_group), texts(comments, body, **of_comment)]),
+        "actions": union(actions),
+    }
+
+
+def reddit(raw: DataFrame) -> dict[str, DataFrame]:
+    at = epoch_seconds(j("created_utc"))
+    group, comment = F.concat(F.lit("t3_"), j("id")), F.concat(F.lit("t1_"), j("id"))
+    out = _forum(raw, named("submissions"), named("comments"), j("author"), at, group, j("subreddit_id"), comment, F.coalesce(j("body"), j("selftext")), j("title"), j("link_id"), n("score"), F.lit(None).cast("bigint"), True)
+    channels = rows(raw, "communities", named("subreddits"), community_id=F.coalesce(j("name"), j("id")), community_type=F.lit("CHANNEL"), community_username=j("display_name"), community_name=j("title"), bio=j("public_description"), member_count=n("subscribers"), created_at=at)
+    names = F.regexp_extract_all(F.coalesce(j("body"), j("selftext"), F.lit("")), F.lit(r"(?<![\w/])/?u/([A-Za-z0-9_-]+)"), F.lit(1))
+    who = listed(raw.where(named("comments")), F.transform(names, F.lower), "USER_TAG", account_id=j("author"), post_id=comment, created_at=at)
+    return out | {"communities": out["communities"].unionByName(channels), "entities": out["entities"].unionByName(who), "accounts": rows(raw, "accounts", named("authors"), account_id=F.coalesce(j("name"), j("author")), username=F.coalesce(j("name"), j("author")), created_at=at)}
+
+
+def voat(raw: DataFrame) -> dict[str, DataFrame]:
+    at = any_time(F.coalesce(j("date"), j("creationDate"), j("created")))
+    out = _forum(raw, named("submission"), named("comment"), j("user"), at, j("submission_id"), j("subverse"), j("comment_id"), F.coalesce(j("body"), j("content")), j("title"), j("root_submission"), n("upvotes"), n("downvotes"), False)
+    out["actions"] = out["actions"].where("action_type = 'LINK'")
+    users = raw.where(named("user"))
+    owner = users.select(j("user").alias("owner"), F.explode(strings("owns")).alias("name")).groupBy("name").agg(F.min("owner").alias("owner"))
+    subs = raw.where(named("subverse")).withColumn("name", j("name")).join(owner, "name", "left")
+    channels = rows(subs, "communities", community_id=F.col("name"), community_type=F.lit("CHANNEL"), community_name=F.coalesce(j("title"), F.col("name")), bio=j("description"), member_count=n("subscriberCount"), owner_account_id=F.col("owner"), created_at=at)
+    return out | {"communities": out["communities"].unionByName(channels), "accounts": rows(users, "accounts", account_id=j("user"), username=j("user"), bio=j("bio"), created_at=at)}
+
+
+def scored(raw: DataFrame) -> dict[str, DataFrame]:
+    at = epoch_millis(j("created"))
+    out = _forum(raw, named("submission", "posts"), named("comment"), j("author"), at, j("id"), j("community"), j("id"), F.coalesce(j("raw_content"), j("content")), j("title"), j("parent_id"), n("score_up"), n("score_down"), False)
+    return out | {"accounts": rows(raw, "accounts", account_id=j("author"), username=j("author"), created_at=at)}
+
+
+def telegram(raw: DataFrame) -> dict[str, DataFrame]:
+    time = lambda p: F.coalesce(any_time(j(p)), epoch_seconds(j(p)))
+    messages, users = raw.where(named("messages")), raw.where(named("accounts", "users"))
+    chats = raw.where(named("channels")).withColumn("c", F.explode(F.from_json(F.get_json_object("raw", "$.chats"), "array<struct<id:string,title:string,username:string,broadcast:boolean,participants_count:bigint,date:string>>")))
+    c_at = F.coalesce(any_time(F.col("c.date")), epoch_seconds(F.col("c.date")))
+    channel = chats.where("c.broadcast").select("path", "raw", F.col("c.id").alias("channel"), c_at.alias("at"))
+    user, chat, at = F.coalesce(j("from_id.user_id"), j("from_id.channel_id"), j("from_id")), F.coalesce(j("peer_id.channel_id"), j("to_id.channel_id"), j("chat_id")), time("date")
+    post = F.concat_ws("_", chat, j("id"))
+    ids, me = {"account_id": user, "post_id": post, "created_at": at}, {"originator_account_id": user, "originator_post_id": post, "created_at": at}
+    body = F.coalesce(j("message"), j("text"))
+    linked = chats.where("not c.broadcast").join(channel.select("path", "raw", "channel"), ["path", "raw"])
+    return {
+        "communities": rows(chats, "communities", community_id=F.col("c.id"), community_type=F.when(F.col("c.broadcast"), "CHANNEL").otherwise("GROUP"), community_username=F.col("c.username"), community_name=F.col("c.title"), member_count=F.col("c.participants_count"), created_at=c_at),
+        "accounts": rows(users, "accounts", account_id=j("id"), username=j("username"), profile_name=F.concat_ws(" ", j("first_name"), j("last_name")), is_verified=to_bool(j("verified")), created_at=F.coalesce(time("date"), time("retrieved_utc"))),
+        "posts": rows(messages, "posts", body=body, community_id=chat, view_count=n("views"), share_count=n("forwards"), comment_count=n("replies.replies"), **ids), "entities": texts(messages, body, **ids),
+        "actions": union([
+            action(linked, "LINK", originator_community_id=F.col("channel"), target_community_id=F.col("c.id"), created_at=c_at),
+            action(messages, "COMMENT", F.coalesce(j("reply_to.reply_to_msg_id"), j("reply_to_msg_id")).isNotNull(), target_post_id=F.concat_ws("_", chat, F.coalesce(j("reply_to.reply_to_msg_id"), j("reply_to_msg_id"))), **me),
+            action(messages, "SHARE", F.get_json_object("raw", "$.fwd_from.from_id").isNotNull(), target_account_id=F.coalesce(j("fwd_from.from_id.user_id"), j("fwd_from.from_id.channel_id"), j("fwd_from.from_id")), target_post_id=j("fwd_from.channel_post"), **me),
+        ]),
+    }
+
+
+def gab(raw: DataFrame) -> dict[str, DataFrame]:
+    time = lambda p: F.coalesce(epoch_seconds(j(p)), any_time(j(p)))
+    user, post, at = F.coalesce(j("account.id"), j("user.id")), j("id"), F.coalesce(time("created_utc"), time("created_at"))
+    ids, me = {"account_id": user, "post_id": post, "created_at": at}, {"originator_account_id": user, "originator_post_id": post, "created_at": at}
+    body = F.coalesce(j("body"), j("content"))
+    media = raw.withColumn("_m", F.explode(F.from_json(F.coalesce(F.get_json_object("raw", "$.media_attachments"), F.get_json_object("raw", "$.attachments")), "array<struct<type:string,url:string>>"))).where("_m.url is not null")
+    kind = F.when(F.col("_m.type") == "image", "IMAGE").when(F.col("_m.type").isin("video", "gifv", "gif", "tv"), "VIDEO").otherwise("LINK")
+    return {
+        "accounts": rows(raw, "accounts", account_id=user, username=F.coalesce(j("account.username"), j("user.username")), profile_name=j("account.display_name"), bio=j("account.note"), follower_count=positive(n("account.followers_count")), friend_count=positive(n("account.following_count")), post_count=positive(n("account.statuses_count")), is_verified=to_bool(j("account.verified")), created_at=F.coalesce(time("account.created_at"), at), retrieved_at=at),
+        "posts": rows(raw, "posts", body=body, like_count=positive(F.coalesce(n("favourites_count"), n("like_count"))), share_count=positive(F.coalesce(n("reblogs_count"), n("repost_count"))), comment_count=positive(n("replies_count")), dislike_count=positive(n("dislike_count")), quote_count=positive(n("quotes_count")), **ids),
+        "entities": union([texts(raw, body, **ids), rows(media, "entities", body=F.col("_m.url"), entity_type=kind, **ids)]),
+        "actions": union([action(raw, "COMMENT", j("in_reply_to_id").isNotNull() | (to_bool(j("is_reply")) & j("parent_id").isNotNull()), target_post_id=F.coalesce(j("in_reply_to_id"), j("parent_id")), target_account_id=j("in_reply_to_account_id"), **me), action(raw, "QUOTE", j("quote_of_id").isNotNull() | to_bool(j("is_quote")), target_post_id=F.coalesce(j("quote_of_id"), j("parent_id")), **me)]),
+    }
+
+
+def koo(raw: DataFrame) -> dict[str, DataFrame]:
+    at, user, post = F.coalesce(epoch_seconds(j("createdAt")), any_time(j("createdAt"))), F.coalesce(j("creatorId"), j("userId")), j("id")
+    written = raw.where(named("koos", "posts", "comments"))
+    ids, me = {"account_id": user, "post_id": post, "created_at": at}, {"originator_account_id": user, "created_at": at}
+    body, lang = F.coalesce(j("title"), j("text")), F.regexp_extract(F.coalesce(F.col("member"), F.col("path")), r"_([a-z]{2,3})(?:\.[^/]*)?$", 1)
+    to = F.coalesce(j("kooId"), j("parentId"))
+    return {
+        "accounts": rows(raw, "accounts", named("users"), account_id=j("id"), username=j("handle"), profile_name=j("name"), bio=j("description"), follower_count=n("followerCount"), friend_count=n("followingCount"), post_count=n("kuCount"), created_at=at),
+        "posts": rows(written, "posts", body=body, like_count=n("likeCount"), share_count=n("rekooCount"), comment_count=n("commentCount"), **ids), "entities": texts(written, body, **ids),
+        "actions": union([action(raw, "COMMENT", named("comments"), originator_post_id=post, target_post_id=to, **me), action(raw, "SHARE", named("shares", "rekoos"), originator_post_id=post, target_post_id=to, **me), action(raw, "UPVOTE", named("likes"), target_post_id=to, **me)]),
+        "post_enrichments": rows(written.where(lang != ""), "post_enrichments", model_id=F.lit("dataset:lang"), post_id=post, body=F.to_json(F.struct(lang.alias("lang"))), created_at=at),
+    }
+
+
+def parler(raw: DataFrame) -> dict[str, DataFrame]:
+    at, user, post, body = any_time(j("createdAt")), F.coalesce(j("creator"), j("creatorId")), j("id"), j("body")
+    joined = any_time(j("joined"))
+    posts, ids = raw.where(~named("users")), {"account_id": user, "post_id": post, "created_at": at}
+    return {
+        "accounts": rows(raw, "accounts", named("users"), account_id=j("id"), username=j("username"), profile_name=j("name"), bio=j("bio"), follower_count=n("user_followers"), friend_count=n("user_following"), post_count=n("posts"), is_verified=to_bool(j("verified")), created_at=joined),
+        "posts": rows(posts, "posts", body=body, like_count=n("upvotes"), share_count=n("reposts"), comment_count=n("comments"), view_count=n("impressions"), **ids), "entities": texts(posts, body, **ids),
+    }
+
+
+STANDARDIZERS = {f.__name__: f for f in (twitter_v1, twitter_v2, twitter_usc, truthsocial, truthsocial_usc, bluesky_api, bluesky_dataset, reddit, voat, scored, telegram, gab, koo, parler)}

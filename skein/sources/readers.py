@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 CODECS = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress}
 NATIVE_CODECS = (".gz", ".bz2", ".zst")
+CSV_OPTIONS = ("quote", "encoding", "comment", "maxColumns", "maxCharsPerColumn", "lineSep", "pathGlobFilter")
 RECORD = "raw string, path string, member string"
 REGISTRY: list[tuple[Callable[[str], bool], str, Callable]] = []
 
@@ -155,7 +156,7 @@ def read_table_text(spark: SparkSession, paths: list[str], sep: str = ",", **opt
     plain = [p for p in paths if p not in odd]
     out = None
     if plain:
-        df = spark.read.csv(plain, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"', **options)
+        df = spark.read.csv(plain, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"', **{k: v for k, v in options.items() if k in CSV_OPTIONS})
         names = df.columns
         out = _with_source(df.select(F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])).alias("raw"), "_metadata"))
     if odd:
