@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
-MEMORY_WORDS, SAMPLE_DOCS = 1_000_000, 60_000
+MEMORY_WORDS, SAMPLE_DOCS = 300_000, 60_000
 #: No merge; above every rank.
 NONE = 1 << 17
 #: A piece is its pair's rank, its first byte's place and its id in one number; bits of the id, and of place and id.
@@ -21,7 +21,7 @@ ID_BITS, LOW_BITS = 17, 45
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 #: Pairs sit in a table by a product hash; those whose place is taken sit in the next table.
-SIZES, FACTORS = (1 << 19, 1 << 17, 1 << 15, 1 << 13), ((40503, 30011), (20021, 60013), (50021, 10007), (33391, 47119))
+SIZES, FACTORS = (1 << 17, 1 << 16, 1 << 14, 1 << 13), ((40503, 30011), (20021, 60013), (50021, 10007), (33391, 47119))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -151,6 +151,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
     ids = memory["ids"].combine_chunks()
     flat, starts = ids.flatten().to_numpy().astype(np.uint32), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int64)
     flat, starts = np.append(flat, np.uint32(GAP)), np.append(starts, starts[-1] + 1)  # the last row: a word not known
+    del memory, ids
     ordered = sorted(vocabulary, key=vocabulary.get)
     if [vocabulary[p] for p in ordered] != list(range(len(ordered))):
         raise ValueError("ranks have gaps")
