@@ -21,7 +21,7 @@ ID_BITS, LOW_BITS = 17, 45
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 #: Pairs sit in a table by a product hash; those whose place is taken sit in the next table.
-SIZES, FACTORS = (1 << 17, 1 << 16, 1 << 14, 1 << 13), ((40503, 30011), (20021, 60013), (50021, 10007), (33391, 47119))
+SIZES, FACTORS = (131071, 65537, 32749, 16381, 8191), ((40503, 30011), (20021, 60013), (50021, 10007), (33391, 47119), (51407, 20983))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
