@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
 MEMORY_WORDS, SAMPLE_DOCS = 300_000, 60_000
@@ -18,10 +19,10 @@ MEMORY_WORDS, SAMPLE_DOCS = 300_000, 60_000
 NONE = 1 << 17
 #: A piece is its pair's rank, its first byte's place and its id in one number; bits of the id, and of place and id.
 ID_BITS, LOW_BITS = 17, 45
+IDS, LOWS = (1 << ID_BITS) - 1, (1 << LOW_BITS) - 1
+PLACES = LOWS - IDS
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
-#: Pairs sit in a table by a product hash; those whose place is taken sit in the next table.
-SIZES, FACTORS = (131071, 65537, 32749, 16381, 8191), ((40503, 30011), (20021, 60013), (50021, 10007), (33391, 47119), (51407, 20983))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,81 +40,92 @@ def bind(value: Column, zero: Column, f) -> Column:
     return F.aggregate(F.array(value), zero, f)
 
 
-def pair_tables(ranks: dict[bytes, int]) -> list[list]:
-    """The rank of every pair of tokens whose bytes join to a token, as tables of pair * 2^17 + rank."""
-    pairs = []
+def long_array(values: list[int]) -> Column:
+    """A literal array in Spark's packed form: eight bytes a value, and a plan shows its name, not its values."""
+    jvm = SparkContext._active_spark_context._jvm
+    packed = SparkContext._active_spark_context._gateway.new_array(jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(np.array(values, ">i8").tobytes()).asLongBuffer().get(packed)
+    data = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(packed)
+    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>")
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(data, kind)))
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(shift, table): the rank of every pair of tokens (a, b) whose bytes join to a token.
+
+    Pair (a, b) sits at table[shift[a] ^ b] as a * 2^17 + its rank; shifts are chosen so that no two pairs
+    meet. A place that is free, or holds another a's pair, differs from a * 2^17 above the 17th bit.
+    """
+    pairs: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                pairs.append((a, b, rank))
-    left = np.array(sorted(pairs), np.int64).reshape(-1, 3)
-    tables = []
-    for size, (x, y) in zip(SIZES, FACTORS):
-        at = (left[:, 0] * x + left[:, 1] * y) % size
-        _, first = np.unique(at, return_index=True)
-        table: list = [None] * size
-        for i in first.tolist():
-            a, b, r = left[i].tolist()
-            table[int(at[i])] = ((a << 17 | b) << 17) | r
-        tables.append(table)
-        left = np.delete(left, first, axis=0)
-    if len(left):
-        raise ValueError("the pair tables are too small for this vocabulary")
-    return tables
+                pairs.setdefault(a, []).append((b, rank))
+    bits = max(17, (4 * sum(map(len, pairs.values()))).bit_length())
+    shift = np.zeros(max(ranks.values()) + 1, np.int64)
+    table = np.full(1 << bits, IDS << 17, np.int64)
+    taken = np.zeros(1 << bits, bool)
+    rng = np.random.default_rng(1)
+    for a in sorted(pairs, key=lambda a: (-len(pairs[a]), a)):
+        b, rank = np.array(pairs[a], np.int64).T
+        tries = 0
+        while taken[b ^ shift[a]].any():
+            shift[a] = rng.integers(0, 1 << bits)
+            tries += 1
+            if tries > 1_000_000:
+                raise ValueError("no room for the pairs of this vocabulary")
+        taken[b ^ shift[a]] = True
+        table[b ^ shift[a]] = a << 17 | rank
+    return shift.tolist(), table.tolist()
 
 
 class Ranks:
     """The literal rank map, and the columns that look things up in it."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values(), default=0) >= 1 << 17 or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("ranks must be below 2^17 and hold every single byte")
+        if max(ranks.values(), default=0) >= IDS or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must be below 2^17 - 1 and hold every single byte")
         self.pieces = ranks
-        tables = pair_tables(ranks)
-        self.tables = [F.from_json(F.lit(json.dumps(t, separators=(",", ":"))), "array<bigint>") for t in tables]
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+        self.shift, self.table = map(long_array, pair_table(ranks))
+        self.bytes = long_array([ranks[bytes([b])] for b in range(256)])
 
     def rank(self, a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, 17) + b
-        out = F.lit(NONE).cast("long")
-        for table, size, (x, y) in reversed(list(zip(self.tables, SIZES, FACTORS))):
-            entry = F.get(table, F.pmod(a * x + b * y, F.lit(size)).cast("int"))
-            out = bind(entry, F.lit(NONE).cast("long"), self._read(key, out))
-        return out
-
-    @staticmethod
-    def _read(key: Column, rest: Column):
-        rank = lambda v: v.bitwiseAND(F.lit((1 << 17) - 1).cast("long"))
-        return lambda _, v: F.when(v.isNull(), F.lit(NONE).cast("long")).when(F.shiftright(v, 17) == key, rank(v)).otherwise(rest)
+        """The rank of a pair, or NONE; without a next piece (null), NONE as well."""
+        entry = F.get(self.table, F.get(self.shift, a).bitwiseXOR(b))
+        return F.least(entry.bitwiseXOR(F.shiftleft(a, 17)), long(NONE))
 
     def fold(self, word: Column) -> Column:
         """array<bigint>: the ids of one word. Its bytes' ids are merged pair by pair, lowest rank first, leftmost first.
 
         A state is one number for each piece: the rank of its pair with the next piece, its place, its id. The
         least number is the pair to merge, the leftmost of its rank, and its rank is the merged id. (Places are
-        found by counting, as array_position leaves by an exception.)
+        found by counting, as array_position leaves by an exception; bits are joined by OR, as sums are checked.)
         """
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a letter for each byte
-        place = lambda v: F.shiftright(v, ID_BITS).bitwiseAND(F.lit((1 << LOW_BITS - ID_BITS) - 1).cast("long"))
-        its_id = lambda v: v.bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
-        start = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.shiftleft(i.cast("long"), ID_BITS) + F.get(self.bytes, F.ascii(F.substring(raw, i, F.lit(1)))))
-        pack = lambda low, a, b: F.shiftleft(F.when(b.isNull(), F.lit(NONE).cast("long")).otherwise(self.rank(a, b)), LOW_BITS) + F.shiftleft(place(low), ID_BITS) + a
+        only = lambda v, bits: v.bitwiseAND(long(bits))
+        start = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(F.get(self.bytes, F.ascii(F.substring(raw, i, F.lit(1))))))
+        pack = lambda low, a, b: F.shiftleft(self.rank(a, b), LOW_BITS).bitwiseOR(low)
 
         def step(acc, _):
             return bind(F.array_min(acc), acc, lambda state, least: F.when(least >= NONE << LOW_BITS, state).otherwise(bind(index(state, least), state, lambda state, at: merge(state, least, at))))
 
         def index(state, least):
-            return F.size(F.filter(state, lambda e: place(e) < place(least)))
+            return F.size(F.filter(state, lambda e: only(e, PLACES) < only(least, PLACES)))
 
         def merge(state, least, at):
-            new, after = F.shiftright(least, LOW_BITS), its_id(F.get(state, at + 2))
-            fresh = lambda e, i: pack(e, F.when(i == at, new).otherwise(its_id(e)), F.when(i == at, after).otherwise(new))
-            return F.transform(F.filter(state, lambda e, i: i != at + 1), lambda e, i: F.when((i == at) | (i == at - 1), fresh(e, i)).otherwise(e))
+            new, left = F.shiftright(least, LOW_BITS), F.get(state, at - 1)
+            joined = pack(only(least, PLACES).bitwiseOR(new), new, only(F.get(state, at + 2), IDS))
+            before = pack(only(left, LOWS), only(left, IDS), new)
+            return F.concat(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), F.when(at == 0, F.array(joined)).otherwise(F.array(before, joined)), F.slice(state, at + 3, F.size(state)))
 
-        begin = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda x, y: pack(x, its_id(x), its_id(y)))
+        begin = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda x, y: pack(x, only(x, IDS), only(y, IDS)))
         none = F.array().cast("array<bigint>")
-        return bind(start, none, lambda _, v: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), begin(v), step, lambda acc: F.transform(acc, its_id)))
+        return bind(start, none, lambda _, v: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), begin(v), step, lambda acc: F.transform(acc, lambda e: only(e, IDS))))
+
+
+def long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
 def remembered(docs: DataFrame, ranks: Ranks, pattern: str) -> pa.Table:
