@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
+from skein.llm.common import chunks
+
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
 MEMORY_WORDS, SAMPLE_DOCS = 300_000, 60_000
 #: No merge; above every rank.
@@ -21,6 +23,8 @@ NONE = 1 << 17
 ID_BITS, LOW_BITS = 17, 45
 IDS, LOWS = (1 << ID_BITS) - 1, (1 << LOW_BITS) - 1
 PLACES = LOWS - IDS
+#: Words that are looked up together, of whole texts; one text at least.
+WORDS_AT_ONCE = 400_000
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 
@@ -171,20 +175,24 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
     piece_at = np.cumsum([0, *map(len, ordered)])
 
     def look_up(batches):
-        for batch in batches:
-            words = batch.column(0).fill_null([]) if batch.column(0).null_count else batch.column(0)
-            at = pc.fill_null(pc.index_in(words.flatten(), value_set=known), len(known)).to_numpy()
-            missing = at == len(known)
-            lengths = pc.list_value_length(words).to_numpy()
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            got, size = expand(flat, starts, at)
-            cut = np.concatenate([[0], np.cumsum(size)])[ends]
-            lost = np.concatenate([[0], np.cumsum(missing)])[ends]
-            raw = got.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lost, pa.int32()), words.flatten().filter(pa.array(missing)))],
-                names=[*keep, "_ids", "_words"],
-            )
+        for whole in batches:
+            lists = whole.column(0)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for lo, hi in chunks(np.concatenate([[0], np.cumsum(size)]), WORDS_AT_ONCE):
+                batch = whole.slice(lo, hi - lo)
+                words = batch.column(0).fill_null([]) if batch.column(0).null_count else batch.column(0)
+                flat_words = words.flatten()
+                at = pc.fill_null(pc.index_in(flat_words, value_set=known), len(known)).to_numpy()
+                missing = at == len(known)
+                ends = np.concatenate([[0], np.cumsum(size[lo:hi])])
+                got, wide = expand(flat, starts, at)
+                cut = np.concatenate([[0], np.cumsum(wide)])[ends]
+                lost = np.concatenate([[0], np.cumsum(missing)])[ends]
+                raw = got.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lost, pa.int32()), flat_words.filter(pa.array(missing)))],
+                    names=[*keep, "_ids", "_words"],
+                )
 
     def finish(batches):
         for batch in batches:
