@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
@@ -25,6 +25,8 @@ IDS, LOWS = (1 << ID_BITS) - 1, (1 << LOW_BITS) - 1
 PLACES = LOWS - IDS
 #: Words that are looked up together, of whole texts; one text at least.
 WORDS_AT_ONCE = 400_000
+#: Most bytes of an Arrow batch between Spark and Python; one row at least.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 
@@ -143,6 +145,13 @@ def remembered(docs: DataFrame, ranks: Ranks, pattern: str) -> pa.Table:
     return top.repartition(parts, "word").select("word", ranks.fold(F.col("word")).alias("ids")).toArrow()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays."""
+    now = SparkContext._active_spark_context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def expand(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows ``which`` of a ragged array, end to end, and their sizes."""
     size = np.diff(offsets)[which]
@@ -157,9 +166,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
     Each match of the pattern is folded by itself, as the reference library does without special tokens;
     bytes between matches do not occur with this pattern. Null and empty texts have no ids, and the digests
     of no bytes. ids are digested as little-endian unsigned 32-bit integers; the decoded bytes are the ids'
-    pieces joined. One row per input row, repeats included.
+    pieces joined. One row per input row, repeats included. The session's Arrow batches are bounded by
+    BATCH_BYTES from then on, as a plan takes that setting when it runs.
     """
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     vocabulary = load_ranks(path)
     ranks, java = Ranks(vocabulary), java_pattern(pattern)
     memory = remembered(docs.where(F.col("text").isNotNull()), ranks, java)
@@ -176,23 +187,27 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
 
     def look_up(batches):
         for whole in batches:
-            lists = whole.column(0)
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            for lo, hi in chunks(np.concatenate([[0], np.cumsum(size)]), WORDS_AT_ONCE):
-                batch = whole.slice(lo, hi - lo)
-                words = batch.column(0).fill_null([]) if batch.column(0).null_count else batch.column(0)
-                flat_words = words.flatten()
-                at = pc.fill_null(pc.index_in(flat_words, value_set=known), len(known)).to_numpy()
-                missing = at == len(known)
-                ends = np.concatenate([[0], np.cumsum(size[lo:hi])])
-                got, wide = expand(flat, starts, at)
-                cut = np.concatenate([[0], np.cumsum(wide)])[ends]
-                lost = np.concatenate([[0], np.cumsum(missing)])[ends]
-                raw = got.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lost, pa.int32()), flat_words.filter(pa.array(missing)))],
-                    names=[*keep, "_ids", "_words"],
-                )
+            yield from coded(whole)
+            del whole  # not held while the next one is read
+
+    def coded(whole):
+        lists = whole.column(0)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        for lo, hi in chunks(np.concatenate([[0], np.cumsum(size)]), WORDS_AT_ONCE):
+            batch = whole.slice(lo, hi - lo)
+            words = batch.column(0).fill_null([]) if batch.column(0).null_count else batch.column(0)
+            flat_words = words.flatten()
+            at = pc.fill_null(pc.index_in(flat_words, value_set=known), len(known)).to_numpy()
+            missing = at == len(known)
+            ends = np.concatenate([[0], np.cumsum(size[lo:hi])])
+            got, wide = expand(flat, starts, at)
+            cut = np.concatenate([[0], np.cumsum(wide)])[ends]
+            lost = np.concatenate([[0], np.cumsum(missing)])[ends]
+            raw = got.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lost, pa.int32()), flat_words.filter(pa.array(missing)))],
+                names=[*keep, "_ids", "_words"],
+            )
 
     def finish(batches):
         for batch in batches:
