@@ -13,6 +13,8 @@ SAMPLE = 20_000
 MOST_LISTS, BLOCK_DIMS, BLOCK_ROWS = 4096, 16, 4096
 #: Width of the test that abandons a candidate: at t of D dimensions its distance must exceed the limit by 1 + EPSILON / sqrt(t).
 EPSILON = 2.1
+#: Rounding allowed to a partial squared distance, as a share of both vectors' squared norms; pairs measured at once.
+SLACK, PAIRS = 1e-12, 65_536
 
 
 def fit(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -38,14 +40,24 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def squares(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs of rows (a[i], b[j])."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS):
+        out[lo : lo + PAIRS] = ((a[i[lo : lo + PAIRS]] - b[j[lo : lo + PAIRS]]) ** 2).sum(1)
+    return out
+
+
 def scan(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest rows of one list for each query: exact distances for what the tests leave.
 
     Squared distances grow by column blocks of the rotated vectors. A query's limit is the k-th smallest
-    exact distance of the candidates that look best after the first block.
+    exact distance of the candidates that look best after the first block; these are always kept. Rotated
+    distances are rounded, so a limit of 0 (copies of the query) still lets rounding through.
     """
     parts = []
     rq, rx, dims = q @ rotation, x @ rotation, q.shape[1]
+    q_norm, x_norm = (q**2).sum(1), (x**2).sum(1)
     for a in range(0, len(q), 256):
         rows, block = slice(a, a + 256), slice(0, BLOCK_DIMS)
         partial = np.maximum((rq[rows, block] ** 2).sum(1)[:, None] + (rx[:, block] ** 2).sum(1) - 2 * rq[rows, block] @ rx[:, block].T, 0)
@@ -56,17 +68,20 @@ def scan(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, rotat
         exact[~np.isfinite(np.take_along_axis(partial, first, 1))] = np.inf
         limit = exact.max(1) if look == k else np.full(len(exact), np.inf)
         t = min(BLOCK_DIMS, dims)
-        i, j = np.nonzero(partial * (dims / t) <= (limit * (1 + EPSILON / np.sqrt(t)) ** 2)[:, None])
+        slack = SLACK * (q_norm[rows][:, None] + x_norm)
+        looked = np.zeros(partial.shape, bool)
+        np.put_along_axis(looked, first, True, 1)
+        i, j = np.nonzero(looked | ((partial - slack) * (dims / t) <= (limit * (1 + EPSILON / np.sqrt(t)) ** 2)[:, None]))
         so_far = partial[i, j]
         keep = np.isfinite(so_far)
         i, j, so_far = i[keep], j[keep], so_far[keep]
         while t < dims:
             block = slice(t, t + BLOCK_DIMS)
-            so_far = so_far + ((rq[rows][i][:, block] - rx[j][:, block]) ** 2).sum(1)
+            so_far = so_far + squares(rq[rows, block], i, rx[:, block], j)
             t = min(t + BLOCK_DIMS, dims)
-            keep = so_far * (dims / t) <= limit[i] * (1 + EPSILON / np.sqrt(t)) ** 2
+            keep = looked[i, j] | ((so_far - slack[i, j]) * (dims / t) <= limit[i] * (1 + EPSILON / np.sqrt(t)) ** 2)
             i, j, so_far = i[keep], j[keep], so_far[keep]
-        d = np.sqrt(((q[rows][i] - x[j]) ** 2).sum(1))
+        d = np.sqrt(squares(q[rows], i, x, j))
         order = np.lexsort((x_id[j], d, i))
         i, j, d = i[order], j[order], d[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
