@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import chunks, utf8
 
-#: Steps of the random walk that a key may look at, sampled steps in a key, and keys (walks) per window.
-STEPS, SAMPLED, REPEATS = 64, 24, 3
+#: Walks, and the steps of a walk that an item's key takes, by the item's letters from so many on: short items have fewer
+#: words to begin a key at. Fitted to find RECALL of the windows with MOST_EDITS random edits of letters.
+REPEATS, RECALL = 3, 0.95
+STEPS_FROM = ((0, 13), (120, 15), (180, 17), (260, 18))
+STEPS = STEPS_FROM[-1][1]
 #: A window is a hit if its edit distance is at most this share of the item.
 MOST_EDITS = 0.2
 #: So many items go through the documents at once.
 ITEM_BLOCK = 20_000
 BLOCK_BYTES, SEED, TABLE = 4_000_000, 20_240_501, 1 << 22
+#: From so many words of an item on, keys from so many different words must suggest about the same place.
+AGREE_FROM = ((0, 1), (10, 2), (18, 3))
+#: Windows looked up at once, begins of an item's windows that are verified as one, letters of a gram of the count filter.
+WINDOWS, NEAR, GRAM = 1 << 20, 16, 4
 #: Of the letters that a text is folded to: a-z as 1 to 26, digits, all bytes of other letters as they are.
 FOLD = np.zeros(256, np.uint8)
 FOLD[[*range(97, 123)]] = FOLD[[*range(65, 91)]] = np.arange(97, 123)
@@ -46,19 +53,29 @@ class Walks:
         rng = np.random.default_rng(SEED)
         self.move = rng.integers(0, 2, (REPEATS, STEPS, 256), dtype=np.uint8)
         self.value = rng.integers(0, 1 << 63, (REPEATS, STEPS, 256), dtype=np.uint64) | np.uint64(1)
-        self.sampled = [set(rng.choice(STEPS, SAMPLED, replace=False).tolist()) for _ in range(REPEATS)]
 
-    def keys(self, data: np.ndarray, starts: np.ndarray, repeat: int) -> np.ndarray:
-        """A hash of the sampled letters of the embedding of the windows from these starts on."""
+    def keys(self, data: np.ndarray, starts: np.ndarray, repeat: int) -> list[np.ndarray]:
+        """For each number of steps in STEPS_FROM a hash of the letters shown to the windows from these starts on."""
         padded = np.concatenate([data, np.full(STEPS + 1, 32, np.uint8)])
         at = starts.astype(np.int32)
-        key = np.zeros(len(at), np.uint64)
+        key, out = np.zeros(len(at), np.uint64), []
+        ends = {n for _, n in STEPS_FROM}
         for j in range(STEPS):
             letter = padded[at]
-            if j in self.sampled[repeat]:
-                key += self.value[repeat, j][letter]
+            key += self.value[repeat, j][letter]
             at += self.move[repeat, j][letter]
-        return key ^ (key >> np.uint64(29))
+            if j + 1 in ends:
+                out.append(key ^ (key >> np.uint64(29)))
+        return out
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """A hash of 16 bits of the GRAM letters from each place on."""
+    padded = np.concatenate([data, np.full(GRAM, 32, np.uint8)]).astype(np.uint32)
+    h = np.zeros(len(data), np.uint32)
+    for k in range(GRAM):
+        h = h * np.uint32(0x9E3779B1) + padded[k : k + len(data)]
+    return ((h * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray, lo: int) -> np.ndarray:
@@ -112,55 +129,102 @@ class Items:
         item = np.searchsorted(offsets, starts, "right") - 1
         length = np.array([len(t) for t in self.text])
         left = length[item] - (starts - offsets[item])
-        self.found: list[dict[int, list[tuple[int, int]]]] = []
-        self.sorted: list[np.ndarray] = []
-        self.there = np.zeros((REPEATS, TABLE), bool)
+        steps = [n for _, n in STEPS_FROM]
+        kind = np.searchsorted([a for a, _ in STEPS_FROM], length, "right") - 1
+        self.grams = [np.unique(grams(np.frombuffer(t, np.uint8))[: max(0, len(t) - GRAM + 1)], return_counts=True) for t in self.text]
+        self.gap = int(length.max(initial=0)) // NEAR + 3
+        words = np.bincount(item, minlength=len(rows))
+        self.need = np.array([n for _, n in AGREE_FROM])[np.searchsorted([a for a, _ in AGREE_FROM], words, "right") - 1]
+        #: by walk and kind: the sorted keys, where each one's entries begin, and the entries' items and places
+        self.found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
+        self.there = np.zeros((REPEATS, len(steps), TABLE), bool)
         for r in range(REPEATS):
-            table = defaultdict(list)
-            # a key looks at about STEPS / 2 letters; where less is left, only an item's own start counts
-            own = (left >= STEPS // 2 + 8) | (starts == offsets[item])
-            for k, i, at in zip(self.walks.keys(data, starts, r)[own].tolist(), item[own].tolist(), (starts - offsets[item])[own].tolist()):
-                table[k].append((i, at))
-            self.found.append(table)
-            keys = np.array(sorted(table), np.uint64)
-            self.sorted.append(keys)
-            self.there[r, (keys % np.uint64(TABLE)).astype(np.int64)] = True
+            self.found.append([])
+            for c, all_keys in enumerate(self.walks.keys(data, starts, r)):
+                # a key looks at about half as many letters as steps; where less is left, only an item's own start counts
+                own = np.flatnonzero((kind[item] == c) & ((left >= steps[c] // 2 + 4) | (starts == offsets[item])))
+                own = own[np.argsort(all_keys[own], kind="stable")]
+                keys, first = np.unique(all_keys[own], return_index=True)
+                self.found[r].append((keys, np.append(first, len(own)), item[own], (starts - offsets[item])[own]))
+                self.there[r, c, (keys & np.uint64(TABLE - 1)).astype(np.int64)] = True
+
+    def candidates(self, part: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Rows of items, keys' starts and windows' begins that the keys from these starts on suggest."""
+        out = [np.zeros((3, 0), np.int64)]
+        for r in range(REPEATS):
+            for c, keys in enumerate(self.walks.keys(part[some[0] : some[-1] + STEPS + 1], some - some[0], r)):
+                known, first, item, inside = self.found[r][c]
+                if not len(known):
+                    continue
+                maybe = np.flatnonzero(self.there[r, c, (keys & np.uint64(TABLE - 1)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
+                met = known[at] == keys[maybe]
+                at, maybe = at[met], maybe[met]
+                many = first[at + 1] - first[at]
+                entry = np.repeat(first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
+                start = np.repeat(some[maybe], many)
+                out.append(np.stack([item[entry], start, start - inside[entry]]))
+        return np.concatenate(out, axis=1)
+
+    def agreeing(self, item: np.ndarray, start: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of items, rows and begins // NEAR of the places that enough keys suggest, each once."""
+        if not len(item):
+            return np.zeros((3, 0), np.int64)
+        # one number for each (item, row, begin // NEAR): rows are kept apart by more than an item reaches before its row
+        place = begin // NEAR + self.gap * (np.searchsorted(at, start, "right") - 1)
+        low, shift = int(place.min()), int(at[-1]).bit_length()
+        wide = int(place.max()) - low + 3
+        both = np.unique((item * wide + place - low) << shift | start)
+        codes, first, many = np.unique(both >> shift, return_index=True, return_counts=True)
+        beside = np.zeros(len(codes), np.int64)
+        touching = np.flatnonzero(np.diff(codes) == 1)
+        beside[touching] = many[touching + 1]
+        item = codes // wide
+        met = many + beside >= self.need[item]
+        row = np.searchsorted(at, both[first[met]] & ((1 << shift) - 1), "right") - 1
+        return np.stack([item[met], row, codes[met] % wide + low - self.gap * row])
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, start, distance): for each row and item the best window within MOST_EDITS."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        number = np.zeros(1 << 16, np.int64)  # of the item's grams, from 1
         for lo, hi in chunks(offsets, BLOCK_BYTES):
             part, at = fold(data[offsets[lo] : offsets[hi]].copy(), offsets[lo : hi + 1] - offsets[lo])
-            starts = word_starts(part, at, 0)
-            tried: set[tuple[int, int, int]] = set()
-            for r in range(REPEATS):
-                for a in range(0, len(starts), 262_144):
-                    some = starts[a : a + 262_144]
-                    keys = self.walks.keys(part[some[0] : some[-1] + STEPS + 1], some - some[0], r)
-                    some, keys = (x[self.there[r, (keys % np.uint64(TABLE)).astype(np.int64)]] for x in (some, keys))
-                    for s, k in zip(some.tolist(), keys.tolist()):
-                        for item, inside in self.found[r].get(k, ()):
-                            row = int(np.searchsorted(at, s, "right")) - 1
-                            text = self.text[item]
-                            most = int(MOST_EDITS * len(text))
-                            begin = s - inside
-                            if (row, item, begin // 16) in tried:
-                                continue
-                            tried.add((row, item, begin // 16))
+            starts, gram = word_starts(part, at, 0), grams(part)
+            for a in range(0, len(starts), WINDOWS):
+                some = starts[a : a + WINDOWS]
+                item, start, begin = self.candidates(part, some)
+                new = self.agreeing(item, start, begin, at)
+                firsts = np.searchsorted(new[0], np.arange(len(self.ids) + 1))
+                for i in np.flatnonzero(np.diff(firsts)).tolist():
+                    text = self.text[i]
+                    most = int(MOST_EDITS * len(text))
+                    rows, near = new[1, firsts[i] : firsts[i + 1]], new[2, firsts[i] : firsts[i + 1]] * NEAR
+                    # an edit spoils GRAM grams of the item at most: with fewer left in all the place, no window is a hit
+                    known, counts = self.grams[i]
+                    number[known] = np.arange(1, len(known) + 1)
+                    least = len(text) - GRAM + 1 - GRAM * most
+                    for b in range(0, len(near), 1024):
+                        places = near[b : b + 1024, None] + np.arange(-most, len(text) + most + 2 * NEAR)
+                        of = number[gram[np.clip(places, 0, len(gram) - 1)]] + np.arange(len(places))[:, None] * (len(known) + 1)
+                        seen = np.bincount(of.ravel(), minlength=len(places) * (len(known) + 1)).reshape(len(places), -1)[:, 1:]
+                        enough = np.minimum(seen, counts).sum(1) >= least
+                        for row, begin in zip(rows[b : b + 1024][enough].tolist(), near[b : b + 1024][enough].tolist()):
                             low, high = int(at[row]), int(at[row + 1])
                             d, start = verify(text, part, begin, most, low, high)
-                            if d <= most and (d, start - low) < best.get((row + lo, item), (1 << 30, 0)):
-                                best[row + lo, item] = (d, start - low)
+                            if d <= most and (d, start - low) < best.get((row + lo, i), (1 << 30, 0)):
+                                best[row + lo, i] = (d, start - low)
+                    number[known] = 0
         return [(row, item, start, d) for (row, item), (d, start) in sorted(best.items())]
 
 
 def verify(text: bytes, data: np.ndarray, begin: int, most: int, low: int, high: int) -> tuple[int, int]:
-    """(distance, start) of the item's best window among those that begin near ``begin``."""
-    exact = data[max(begin, low) : begin + len(text)].tobytes()
-    if exact == text:
-        return 0, begin
-    a, b = max(low, begin - most), min(high, begin + len(text) + 2 * most)
+    """(distance, start) of the item's best window among those that begin within 2 * NEAR after ``begin``, more or less ``most``."""
+    a, b = max(low, begin - most), min(high, begin + 2 * NEAR + len(text) + most)
     window = data[a:b].tobytes()
+    exact = window.find(text)
+    if exact >= 0:
+        return 0, a + exact
     # the window's end first (from any start: the item reversed), then its start
     d, end = anywhere(text, window)
     if d > most:
@@ -195,8 +259,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Both texts are folded to lower-case letters and digits with single spaces. A window of the item's size
     counts if its edit distance is at most a fifth of the item's length. Windows from every word of a
-    document are embedded by the CGK walk; sampled steps make an LSH key that is looked up among the keys of
-    the items from each of their words on; what meets is verified exactly. start is the window's place in the
+    document are embedded by the CGK walk; its steps make an LSH key that is looked up among the keys of
+    the items from each of their words on. Where enough keys agree on a place, and a count of common grams
+    (which loses no hit) allows one, it is verified exactly. Keys aim at RECALL of windows with a fifth of
+    random edits; windows with fewer edits are found more often, exact ones always. start is the window's place in the
     folded text. The items are a stated query set: they are read to the driver and sent out in blocks of
     ITEM_BLOCK, so a broadcast's size is bounded. Items with fewer than 3 words, empty or null ones, and
     null or empty documents give no rows. An item twice under one id counts once, at its best window.

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import ann
+from skein.llm import ann, decontaminate
 
 
 def nearest_by_brute_force(x, q, k):
@@ -37,3 +37,34 @@ def test_ann_scan_keeps_copies(kind, dims):
             assert len(mine) == len(best)
             if ((x == x[q]).all(1)).sum() > 10:
                 assert mine == best
+
+
+def edited(text, share, rng):
+    letters = list(text)
+    for _ in range(int(share * len(text))):
+        i, kind, c = rng.randrange(len(letters)), rng.randrange(3), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        letters[i : i + (kind != 1)] = [c, "", c][kind] if kind != 1 else [c]
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_of_edited_letters(share):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aaabcdeeefghiijklmnnooprrsttu") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(13 + i % 40))) for i in range(160)]
+    docs = [" ".join([*(word() for _ in range(60)), edited(t, share, rng), *(word() for _ in range(60))]).encode() for _, t in items]
+    hits = decontaminate.Items(items).hits(np.frombuffer(b"".join(docs), np.uint8).copy(), np.cumsum([0, *map(len, docs)]))
+    found = {(row, item) for row, item, _, _ in hits}
+    assert all(row == item for row, item in found)
+    caught = np.array([(i, i) in found for i in range(160)])
+    short = np.array([len(t) < 150 for _, t in items])
+    least = decontaminate.RECALL if share == 0.2 else 0.99 if share else 1
+    assert caught.mean() >= least and caught[short].mean() >= (0.85 if share == 0.2 else 0.95)
+
+
+def test_decontamination_of_neighbouring_short_documents():
+    rng = random.Random(12)
+    items = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(12, 40)))) for i in range(200)]
+    docs = [t.encode() for _, t in items]
+    hits = decontaminate.Items(items).hits(np.frombuffer(b"".join(docs), np.uint8).copy(), np.cumsum([0, *map(len, docs)]))
+    assert {(r, i) for r, i, _, d in hits if d == 0} == {(i, i) for i in range(200)}
