@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import ann, decontaminate
+from skein.llm import ann, decontaminate, maxent_lm
 
 
 def nearest_by_brute_force(x, q, k):
@@ -68,3 +68,14 @@ def test_decontamination_of_neighbouring_short_documents():
     docs = [t.encode() for _, t in items]
     hits = decontaminate.Items(items).hits(np.frombuffer(b"".join(docs), np.uint8).copy(), np.cumsum([0, *map(len, docs)]))
     assert {(r, i) for r, i, _, d in hits if d == 0} == {(i, i) for i in range(200)}
+
+
+def test_maxent_lm_trains_on_every_position(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m n o p", "q r", "", None, "s t u v w x y z"] * 5
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    words = sorted({w for t in texts for w in (t or "").split()})
+    top = [(b"", 25), *[(w.encode(), 5) for w in words]]
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(maxent_lm, "learn", lambda weights, f, classes, squares: seen.add(len(classes)))
+    maxent_lm.train(docs, maxent_lm.Classes(top, []))
+    assert seen.value == sum(len((t or "").split()) + 1 for t in texts)
