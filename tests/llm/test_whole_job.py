@@ -30,7 +30,7 @@ def test_ann_scan_keeps_copies(kind, dims):
             x = x[:1]
         rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         ids, asking = np.arange(len(x)), np.arange(0, len(x), 7)
-        got = ann.scan(asking, x[asking], ids, x, rotation, 10)
+        got = ann.scan(asking, x[asking], np.full(len(asking), np.inf), ids, x, rotation, 10)
         for q in asking:
             mine = got[got["query_id"] == q]["vec_id"].tolist()
             best = nearest_by_brute_force(x, q, 10)
@@ -39,6 +39,23 @@ def test_ann_scan_keeps_copies(kind, dims):
                 assert mine == best
 
 
+def test_ann_of_copies_repeats_and_few_rows(spark):
+    rng = np.random.default_rng(4)
+    for dims in (24, 64, 128):
+        x = rng.standard_normal((600, dims))
+        x[100:140] = x[100]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
+        assert got == [(q, k + 1, n) for q in range(0, 600, 50) for k, n in enumerate(nearest_by_brute_force(x, q, 10))]
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [5.0, 1.0]), (2, [4.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "vec_id long, embedding array<double>, list string, score double")
+    assert [tuple(r) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 3.0)]
+    assert ann.search(df.where("vec_id = 0"), F.col("vec_id") == 0).count() == 0
+    many = spark.createDataFrame([(7 if i % 3 else i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.search(many, F.col("vec_id") % 50 == 0).collect()
+    assert len(got) == 20 and len({(r["query_id"], r["vec_id"]) for r in got}) == 20
+
+
 def edited(text, share, rng):
     letters = list(text)
     for _ in range(int(share * len(text))):
