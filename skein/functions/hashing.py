@@ -19,12 +19,24 @@ def keyed_hash(c: Column, pepper: str, algorithm: str = "SHA256") -> Column:
     return F.when(c == "", F.lit("")).otherwise(F.sha2(F.concat(F.lit(p + b"\x01"), F.unhex(inner), F.lit(b"\xee")), bits))
 
 
-def replace_matches(c: Column, pattern: str, change) -> Column:
-    """Each match (group 1) replaced by change(match), natively: gaps and changed matches are zipped."""
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    gaps = F.split(c, pattern, -1)
-    # split() of a pattern with one group drops the group, so gaps and matches alternate
-    return F.array_join(F.zip_with(gaps, F.transform(found, change), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it: plans grow by sums, not by products."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def replace_matches(c: Column, pattern: str, change, needs: str = "") -> Column:
+    """Each match (group 1) replaced by change(match), natively: gaps and changed matches are zipped.
+
+    A text without ``needs``, which every match holds, is left as it is, unsearched.
+    """
+
+    def replaced(x: Column) -> Column:
+        # split() of a pattern with one group drops the group, so gaps and matches alternate
+        found = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), change)
+        done = F.array_join(F.zip_with(F.split(x, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        return F.when(x.contains(needs), done).otherwise(x) if needs else done
+
+    return bound(c, replaced)
 
 
 HANDLE = r"(@[\p{L}\p{N}_.]{1,64})"
@@ -39,9 +51,10 @@ def redact(c: Column, pepper: str, algorithm: str = "SHA256") -> Column:
         name = F.regexp_replace(F.substring(m, 2, 100), r"\.+$", "")
         return F.when(name == "", m).otherwise(F.concat(F.lit("@u_"), keyed_hash(name, pepper, algorithm), F.regexp_extract(m, r"(\.*)$", 1)))
 
-    out = replace_matches(c, r"(?<![A-Za-z0-9._%+\-])" + HANDLE, handle)
-    out = F.regexp_replace(out, MAIL, "[EMAIL]")
-    return replace_matches(out, LINK, lambda m: F.concat(F.lit("URL_"), F.coalesce(normalize_host(m), F.lit(""))))
+    out = replace_matches(c, r"(?<![A-Za-z0-9._%+\-])" + HANDLE, handle, "@")
+    out = bound(out, lambda x: F.when(x.contains("@"), F.regexp_replace(x, MAIL, "[EMAIL]")).otherwise(x))
+    linked = lambda x: F.lower(x).contains("http") | F.lower(x).contains("www.")
+    return bound(out, lambda x: F.when(linked(x), replace_matches(x, LINK, lambda m: F.concat(F.lit("URL_"), F.coalesce(normalize_host(m), F.lit(""))))).otherwise(x))
 
 
 def sanitize_entity(kind: Column, body: Column, pepper: str) -> Column:

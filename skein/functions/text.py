@@ -19,20 +19,25 @@ def text_of(c: Column) -> Column:
     return F.coalesce(F.when(F.lower(s) != "nan", s), F.lit(""))
 
 
-def _unique(c: Column, pattern: str, change) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(1)), change))
+def _unique(c: Column, pattern: str, change, needs: str = "") -> Column:
+    """Distinct changed matches in order; a text without ``needs``, which every match holds, isn't searched."""
+    found = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), change))
+    if not needs:
+        return found(text_of(c))
+    none = F.array().cast("array<string>")
+    return F.get(F.transform(F.array(text_of(c)), lambda x: F.when(x.contains(needs), found(x)).otherwise(none)), F.lit(0))
 
 
 def extract_emails(c: Column) -> Column:
-    return _unique(c, EMAIL, F.lower)
+    return _unique(c, EMAIL, F.lower, "@")
 
 
 def extract_mentions(c: Column) -> Column:
-    return _unique(c, MENTION, F.lower)
+    return _unique(c, MENTION, F.lower, "@")
 
 
 def extract_hashtags(c: Column) -> Column:
-    return _unique(c, HASHTAG, F.lower)
+    return _unique(c, HASHTAG, F.lower, "#")
 
 
 def extract_urls(c: Column) -> Column:
@@ -83,6 +88,15 @@ def mention_to_user(c: Column) -> Column:
     return F.regexp_replace(text_of(c), r"(?U)(?<!\w)@\w+", "@user")
 
 
+def stance(labels: Column, order: tuple[str, ...], default: str = "neutral") -> Column:
+    """One label of a nested list of answers: the first of ``order`` that occurs anywhere in them, in any case."""
+    joined = F.lower(F.array_join(F.flatten(labels), " "))
+    out = F.lit(default)
+    for name in reversed(order):
+        out = F.when(joined.contains(name.lower()), F.lit(name)).otherwise(out)
+    return out
+
+
 def fill_template(template: str, values: dict[str, Column], defaults: dict[str, str] | None = None) -> Column:
     """A prompt with {name} fields taken from columns; nulls take the default or empty."""
     import string

@@ -120,9 +120,26 @@ def group_differences(a: DataFrame, b: DataFrame, group: str, value: str, least:
     return both.withColumn("difference", F.abs(F.col("mean_a") - F.col("mean_b"))).orderBy(F.desc("difference"), group).limit(k)
 
 
+def before(rows: DataFrame, order: str, value: str, name: str, descending: bool = False) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, in the order of the distinct column ``order``.
+
+    Rows are dealt out by ranges of the order; sums run within each range, on top of the ranges' totals
+    (one row for each partition), so no task holds all rows.
+    """
+    spark = rows.sparkSession
+    way = F.desc(order) if descending else F.asc(order)
+    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), way).withColumn("_part", F.spark_partition_id())
+    totals = parts.groupBy("_part").agg(F.sum(value).alias("_total"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # a row for each partition
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(way).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn(name, own).join(F.broadcast(offsets), "_part").withColumn(name, F.col(name) + F.col("_offset")).drop("_part", "_offset")
+
+
 def ranks(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Rank by count. The input is one row per key."""
-    return counts.select(key, n, F.rank().over(Window.orderBy(F.desc(n))).cast("bigint").alias("rank"))
+    """Rank by count, ties alike. The input is one row per key; a count's rank is found once, among the distinct counts."""
+    each = counts.groupBy(n).agg(F.count("*").alias("_many"))
+    ranked = before(each, n, "_many", "_above", descending=True).select(n, (F.col("_above") + 1).cast("bigint").alias("rank"))
+    return counts.select(key, n).join(ranked, n).select(key, n, "rank")
 
 
 def ranks_side_by_side(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -147,11 +164,21 @@ def two_proportions(hits_a: int, n_a: int, hits_b: int, n_b: int) -> tuple[float
 def mann_whitney_u(rows: DataFrame, group: str, value: str, first) -> DataFrame:
     """u, n_a, n_b: of the rows whose group is ``first`` against all others, by average ranks of distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == first).alias("a"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = before(counts, value, "n", "_below").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("a")).alias("r"), F.sum("a").alias("n_a"), F.sum(F.col("n") - F.col("a")).alias("n_b"))
     return s.select((F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"), "n_a", "n_b")
 
 
+def by_domain(hosts: DataFrame, scores: DataFrame, key: str = "domain") -> DataFrame:
+    """Rows with the score of their domain, whatever its case; rows without one are left out. Scores of a domain that repeats are averaged."""
+    known = scores.groupBy(F.lower(key).alias("_key")).agg(F.avg("score").alias("score"))
+    return hosts.join(known, F.lower(hosts[key]) == F.col("_key")).drop("_key")
+
+
+def labelled(annotations: DataFrame, predictions: DataFrame, key: str, default: str = "unknown") -> DataFrame:
+    """key, truth, guess: each annotation with the prediction for it, or the default."""
+    return annotations.select(key, F.coalesce("label", F.lit(default)).alias("truth")).join(predictions.select(key, F.col("label").alias("guess")), key, "left").withColumn("guess", F.coalesce("guess", F.lit(default)))
+
+
 def confusion(rows: DataFrame, truth: str, guess: str, default: str = "unknown") -> DataFrame:
     return rows.groupBy(F.coalesce(truth, F.lit(default)).alias(truth), F.coalesce(guess, F.lit(default)).alias(guess)).agg(F.count("*").alias("n"))

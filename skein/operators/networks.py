@@ -5,16 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.values import in_window
+from skein.session import shared_checkpoints
 from skein.schema import ACTION_TYPES, ENTITY_TYPES
 
-INTERACTIONS = ("QUOTE", "SHARE", "COMMENT", "FOLLOW", "BLOCK", "UPVOTE", "DOWNVOTE")
+#: What counts as an interaction between users; other actions need to be asked for by ``kinds``.
+INTERACTIONS = ("QUOTE", "SHARE", "COMMENT", "FOLLOW", "BLOCK")
 WINDOW = ["window_start", "window_end"]
-#: A group with more members than this is spread over SALTS parts on one side of its self-join.
-HOT_GROUP, SALTS = 2000, 32
+#: One side of a group's self-join is spread over parts of so many members.
+HOT_GROUP = 500
 
 
 @dataclass
@@ -27,9 +29,23 @@ class Network:
     directed: bool
     weighting: str
     filters: dict = field(default_factory=dict)
+    node_type: str = "account"
+    edge_kind: str = ""
 
     def meta(self) -> dict:
-        return {"name": self.name, "directed": self.directed, "weighting": self.weighting, "filters": self.filters, "edge_count": self.edges.count(), "node_count": self.nodes.count()}
+        """What the network is, with its counts: one job for each of the two."""
+        counts = {"node_count": self.nodes.count(), "edge_count": self.edges.count()}
+        return {"name": self.name, "node_type": self.node_type, "edge_kind": self.edge_kind, **counts, "directed": self.directed, "weighting": self.weighting, "filters": self.filters}
+
+    def graph(self, most: int = 1_000_000) -> dict[str, dict[str, int]]:
+        """The edges as a dict of dicts on the driver; an error above ``most`` edges. Undirected edges stand once."""
+        rows = self.edges.select("src", "dst", "weight").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"over {most} edges; sample() or write() them")
+        out: dict[str, dict[str, int]] = {}
+        for r in rows:
+            out.setdefault(r["src"], {})[r["dst"]] = r["weight"]
+        return out
 
     def chunks(self):
         """Edges one by one, without holding them all."""
@@ -80,13 +96,13 @@ def _pairs(members: DataFrame, group: list[str], member: str, by: list[str]) ->
     """Weighted pairs a < b of distinct members that share a group.
 
     Members come distinct. Each group becomes its members' pairs by an equi self-join with an order
-    residual, so nothing holds a group whole; groups over HOT_GROUP are salted on the left side.
+    residual, so nothing holds a group whole: its left side is dealt into a part for each HOT_GROUP members.
     """
     sizes = members.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    salts = F.when(F.col("_n") > HOT_GROUP, F.lit(SALTS)).otherwise(F.lit(1))
+    salts = F.ceil(F.col("_n") / HOT_GROUP).cast("bigint")
     sized = members.join(sizes, group)
-    left = sized.select(*group, F.col(member).alias("src"), F.pmod(F.xxhash64(member), salts).cast("int").alias("_salt"))
-    right = sized.select(*group, F.col(member).alias("dst"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    left = sized.select(*group, F.col(member).alias("src"), F.pmod(F.xxhash64(member), salts).alias("_salt"))
+    right = sized.select(*group, F.col(member).alias("dst"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt"))
     return left.join(right, [*group, "_salt"]).where("src < dst").groupBy(*by, "src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -94,13 +110,13 @@ def endpoints(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     return edges.select(*by, F.col("src").alias("node_id")).union(edges.select(*by, F.col("dst").alias("node_id"))).distinct()
 
 
-def user_interaction(actions: DataFrame, interaction: str, start_time=None, end_time=None, weighting="count", min_weight=None, step=None) -> Network:
-    kind = _allowed(interaction, INTERACTIONS, "interaction")
+def user_interaction(actions: DataFrame, interaction: str, start_time=None, end_time=None, weighting="count", min_weight=None, step=None, kinds=INTERACTIONS) -> Network:
+    kind = _allowed(interaction, kinds, "interaction")
     rows, by = _scope(actions.where(F.col("action_type") == kind), "created_at", start_time, end_time, step)
     rows = rows.where(F.col("originator_account_id").isNotNull() & F.col("target_account_id").isNotNull())
     edges = rows.groupBy(*by, F.col("originator_account_id").alias("src"), F.col("target_account_id").alias("dst")).agg(F.count("*").alias("weight"))
     edges = _finish(edges, kind, weighting, min_weight, by)
-    return Network(edges, endpoints(edges, by), "user_interaction", True, weighting, {"interaction": kind})
+    return Network(edges, endpoints(edges, by), "user_interaction", True, weighting, {"interaction": kind}, "account", kind)
 
 
 def entity_cooccurrence(entities: DataFrame, entity_type: str = "HASHTAG", start_time=None, end_time=None, weighting="count", min_weight=None, step=None) -> Network:
@@ -108,7 +124,7 @@ def entity_cooccurrence(entities: DataFrame, entity_type: str = "HASHTAG", start
     rows, by = _scope(entities.where((F.col("entity_type") == kind) & F.col("post_id").isNotNull() & F.col("body").isNotNull()), "created_at", start_time, end_time, step)
     edges = _pairs(rows.select(*by, "post_id", "body").distinct(), [*by, "post_id"], "body", by)
     edges = _finish(edges, f"{kind}_COOCCURRENCE", weighting, min_weight, by)
-    return Network(edges, endpoints(edges, by).select("*", F.col("node_id").alias("label"), F.lit(kind).alias("type")), "entity_cooccurrence", False, weighting, {"entity_type": kind})
+    return Network(edges, endpoints(edges, by).select("*", F.col("node_id").alias("label"), F.lit(kind).alias("type")), "entity_cooccurrence", False, weighting, {"entity_type": kind}, kind.lower(), "CO_OCCURRENCE")
 
 
 def bipartite(posts: DataFrame, entities: DataFrame, left: str = "account", right: str = "HASHTAG", start_time=None, end_time=None, weighting="count", min_weight=None, step=None) -> Network:
@@ -121,7 +137,7 @@ def bipartite(posts: DataFrame, entities: DataFrame, left: str = "account", righ
     rows = rows.select(*by, "post_id", F.col(own).alias("src")).join(tagged, "post_id").where(F.col("src").isNotNull())
     edges = _finish(rows.groupBy(*by, "src", F.col("body").alias("dst")).agg(F.count("*").alias("weight")), f"{left.upper()}_{kind}_BIPARTITE", weighting, min_weight, by)
     side = lambda c, n, t: edges.select(*by, F.col(c).alias("node_id"), F.lit(n).alias("bipartite"), F.lit(t).alias("type")).distinct()
-    return Network(edges, side("src", 0, left).unionByName(side("dst", 1, kind)), "bipartite", False, weighting, {"left": left, "right": kind})
+    return Network(edges, side("src", 0, left).unionByName(side("dst", 1, kind)), "bipartite", False, weighting, {"left": left, "right": kind}, f"{left}/{kind.lower()}", "BIPARTITE")
 
 
 def coaction(actions: DataFrame, action: str, start_time=None, end_time=None, weighting="count", min_weight=None, directed=False, step=None) -> Network:
@@ -129,7 +145,7 @@ def coaction(actions: DataFrame, action: str, start_time=None, end_time=None, we
     rows, by = _scope(actions.where((F.col("action_type") == kind) & F.col("originator_account_id").isNotNull() & F.col("target_post_id").isNotNull()), "created_at", start_time, end_time, step)
     edges = _pairs(rows.select(*by, "target_post_id", "originator_account_id").distinct(), [*by, "target_post_id"], "originator_account_id", by)
     edges = _finish(edges, f"CO_{kind}", weighting, min_weight, by)
-    return Network(edges, endpoints(edges, by).withColumn("type", F.lit("account")), "coaction", directed, weighting, {"action": kind})
+    return Network(edges, endpoints(edges, by).withColumn("type", F.lit("account")), "coaction", directed, weighting, {"action": kind}, "account", f"CO_{kind}")
 
 
 def windows(spark, start: datetime, end: datetime, step: timedelta) -> DataFrame:
@@ -180,13 +196,23 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("ends") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def transitivity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """community, triangles, wedges, transitivity (closed wedges by wedges) of the edges within each community of (node_id, community)."""
+    e = neighbours(edges)
+    at = lambda x: labels.select(F.col("node_id").alias(x), F.col("community").alias(f"c{x}"))
+    inside = e.join(at("a"), "a").join(at("b"), "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    each = local_clustering(inside, 1).join(labels, "node_id")
+    wedges = F.sum(F.col("degree") * (F.col("degree") - 1) / 2).cast("bigint")
+    out = each.groupBy("community").agg((F.sum("triangles") / 3).cast("bigint").alias("triangles"), wedges.alias("wedges"))
+    return out.withColumn("transitivity", F.when(F.col("wedges") > 0, 3.0 * F.col("triangles") / F.col("wedges")).otherwise(0.0))
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node_id, community: each round a node takes its neighbours' commonest label, ties to the smallest."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
+    """node_id, community: each round a node takes its neighbours' commonest label, ties to the smallest.
 
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    Needs a checkpoint folder that all executors share (``spark.checkpoint.dir``); a local session makes its own.
+    """
+    shared_checkpoints(edges.sparkSession)
     e = neighbours(edges)
     both = e.union(e.select("b", "a")).checkpoint()
     labels = both.select(F.col("a").alias("node_id"), F.col("a").alias("community")).distinct()
@@ -195,7 +221,3 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         # the largest count first, then the smallest label
         labels = votes.groupBy(F.col("a").alias("node_id")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("node_id", F.col("m.community").alias("community")).checkpoint()
     return labels
-
-
-def is_interaction(c: Column) -> Column:
-    return c.isin(*INTERACTIONS)

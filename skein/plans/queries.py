@@ -77,7 +77,7 @@ def edges_sql(src: str, where: str, label: str, weight: str = "COUNT(*)", having
 
 
 for _kind in ("UPVOTE", "SHARE", "COMMENT", "FOLLOW", "BLOCK"):
-    query(edges_sql("o src, t dst", f"{ACTIONS} WHERE kind='{_kind}' AND o IS NOT NULL AND t IS NOT NULL GROUP BY 1,2", _kind), f"user_interaction_{_kind.lower()}")(lambda t, k=_kind: nw.user_interaction(t.actions, k).edges)
+    query(edges_sql("o src, t dst", f"{ACTIONS} WHERE kind='{_kind}' AND o IS NOT NULL AND t IS NOT NULL GROUP BY 1,2", _kind), f"user_interaction_{_kind.lower()}")(lambda t, k=_kind: nw.user_interaction(t.actions, k, kinds=nw.ACTION_TYPES).edges)
 query(edges_sql("o src, t dst", f"{ACTIONS} WHERE kind='SHARE' AND t IS NOT NULL GROUP BY 1,2", "SHARE", "1"), "user_interaction_binary")(lambda t: nw.user_interaction(t.actions, "SHARE", weighting="binary").edges)
 query(edges_sql("o src, t dst", f"{ACTIONS} WHERE kind='SHARE' AND t IS NOT NULL AND ts >= '2024-01-05' AND ts < '2024-01-20' GROUP BY 1,2", "SHARE", having="HAVING COUNT(*) >= 2"), "user_interaction_min_weight")(
     lambda t: nw.user_interaction(t.actions, "SHARE", datetime(2024, 1, 5), datetime(2024, 1, 20), min_weight=2).edges

@@ -126,7 +126,7 @@ def twitter_usc(raw: DataFrame) -> dict[str, DataFrame]:
     ids = {"account_id": user, "post_id": post, "created_at": at}
     me = {"originator_account_id": user, "originator_post_id": post, "created_at": at}
     name = F.regexp_extract(F.coalesce(j("url"), F.lit("")), r"(?:twitter|x)\.com/([^/]+)/", 1)
-    names = F.transform(F.split(F.coalesce(j("mentionedUsers"), F.lit("")), ","), F.trim)
+    names = F.transform(F.split(F.coalesce(j("mentionedUsers"), F.lit("")), ","), lambda x: F.trim(x))
     return {
         "accounts": rows(raw, "accounts", account_id=user, username=F.when(name != "", name), created_at=F.coalesce(any_time(j("user__created")), at), retrieved_at=at),
         "posts": rows(raw, "posts", body=body, conversation_id=j("conversationId"), like_count=n("likeCount"), share_count=F.coalesce(n("retweetCount"), n("retruthCount")), quote_count=n("quoteCount"), comment_count=n("replyCount"), view_count=n("viewCount"), **ids),

@@ -54,7 +54,7 @@ def columns(table: str) -> list[tuple[str, str]]:
 
 
 def rules(table: str) -> dict[str, Column]:
-    """What makes a row invalid, by name: conditions that are true or null for good rows."""
+    """What makes a row invalid, by name: conditions that are true for good rows."""
     out = {f"{c} is null": F.col(c).isNotNull() for c in REQUIRED[table]}
     out |= {f"{c} is not allowed": F.col(c).isNull() | F.col(c).isin(*values) for (t, c), values in ENUMS.items() if t == table}
     out |= {f"{c} is negative": F.col(c).isNull() | (F.col(c) >= 0) for c, kind in columns(table) if c.endswith("_count") and kind == "bigint"}

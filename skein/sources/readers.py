@@ -10,9 +10,11 @@ import json
 import lzma
 import os
 import tarfile
+import warnings
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,20 @@ def register(suffixes: tuple[str, ...], name: str):
     return add
 
 
+def discover(group: str = "skein.readers") -> list[str]:
+    """Loads readers that installed packages offer as entry points, and registers those given as (suffixes, name, read). Names that load."""
+    out = []
+    for point in entry_points(group=group):
+        try:
+            found = point.load()
+            if isinstance(found, tuple):
+                register(found[0], found[1])(found[2])
+            out.append(point.name)
+        except Exception as e:  # noqa: BLE001  one broken package doesn't stop the others
+            warnings.warn(f"reader {point.name} doesn't load: {e}", stacklevel=2)
+    return out
+
+
 def reader_of(path: str) -> tuple[str, Callable]:
     for supports, name, read in REGISTRY:
         try:
@@ -96,7 +112,7 @@ def mended(text: str):
 
 
 def _decoded(df: DataFrame, rows: Callable[[str, bytes], list[tuple[str, str | None]]]) -> DataFrame:
-    """Binary files to records, file by file in tasks; a file that fails gives none."""
+    """Binary files to records, file by file in tasks; a file that fails gives one row without raw, with the error as its member."""
 
     def run(frames):
         for frame in frames:
@@ -104,20 +120,43 @@ def _decoded(df: DataFrame, rows: Callable[[str, bytes], list[tuple[str, str | N
             for path, content in zip(frame["path"], frame["content"]):
                 try:
                     out += [(raw, path, member) for raw, member in rows(path, bytes(content))]
-                except (ValueError, OSError, EOFError, lzma.LZMAError):
-                    continue
+                except Exception as e:  # noqa: BLE001  whatever a codec or parser raises, the other files go on
+                    out.append((None, path, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["raw", "path", "member"])
 
     return df.select("path", "content").mapInPandas(run, RECORD)
 
 
+def line_mended(line: str) -> str | None:
+    """A line's record, repaired if need be; None if it can't be."""
+    for parse in (json.loads, mended):
+        try:
+            doc = parse(line)
+        except ValueError:
+            continue
+        return json.dumps(doc, ensure_ascii=False) if isinstance(doc, dict) else None
+    return None
+
+
+def repaired(df: DataFrame) -> DataFrame:
+    """Lines that are JSON objects as they are, and of the others those that can be mended. Only these leave the JVM."""
+
+    def run(frames):
+        for frame in frames:
+            frame["raw"] = [line_mended(x) for x in frame["raw"]]
+            yield frame[frame["raw"].notna()]
+
+    fine = F.ltrim("raw").startswith("{") & F.try_parse_json("raw").isNotNull()
+    return df.where(F.col("raw").isNull() | fine).union(df.where(F.col("raw").isNotNull() & ~fine).mapInPandas(run, RECORD))
+
+
 def _binary(spark, paths) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
 
 @register((".jsonl", ".ndjson", ".jsons"), "jsonl")
 def read_jsonl(spark: SparkSession, paths: list[str], **_) -> DataFrame:
-    """One record per line; blank lines are left out. xz is not one of Hadoop's codecs, so tasks decode it."""
+    """One record per line; blank lines are left out, broken ones mended or left out. xz is not one of Hadoop's codecs, so tasks decode it."""
     odd = [p for p in paths if p.lower().endswith(".xz")]
     plain = [p for p in paths if p not in odd]
     out = []
@@ -126,7 +165,7 @@ def read_jsonl(spark: SparkSession, paths: list[str], **_) -> DataFrame:
     if odd:
         out.append(_decoded(_binary(spark, odd), lambda p, b: [(x, None) for x in decompress(p, b)[1].decode("utf-8", "replace").splitlines()]))
     df = out[0] if len(out) == 1 else out[0].union(out[1])
-    return df.where(F.trim("raw") != "")
+    return repaired(df.where(F.col("raw").isNull() | (F.trim("raw") != "")))
 
 
 @register((".json",), "json")
@@ -175,22 +214,38 @@ def read_tsv(spark, paths, **options) -> DataFrame:
     return read_table_text(spark, paths, **({"sep": "\t"} | options))
 
 
+def parquet_rows(data: bytes, columns: list[str] | None = None) -> list[str]:
+    import pyarrow.parquet as pq
+
+    return [json.dumps(r, ensure_ascii=False, default=str) for r in pq.read_table(io.BytesIO(data), columns=columns).to_pylist()]
+
+
 @register((".parquet",), "parquet")
 def read_parquet(spark, paths, columns: list[str] | None = None, **_) -> DataFrame:
-    df = spark.read.parquet(*paths)
-    return _with_source(df.select(F.to_json(F.struct(*(columns or df.columns))).alias("raw"), "_metadata"))
+    """Plain files by Spark's scan; files compressed as a whole are decoded in tasks."""
+    odd = [p for p in paths if not p.lower().endswith(".parquet")]
+    plain = [p for p in paths if p not in odd]
+    out = []
+    if plain:
+        df = spark.read.parquet(*plain)
+        out.append(_with_source(df.select(F.to_json(F.struct(*(columns or df.columns))).alias("raw"), "_metadata")))
+    if odd:
+        out.append(_decoded(_binary(spark, odd), lambda p, b: [(x, None) for x in parquet_rows(decompress(p, b)[1], columns)]))
+    return out[0] if len(out) == 1 else out[0].union(out[1])
 
 
 def member_rows(name: str, data: bytes) -> list[str]:
     base, data = decompress(name, data)
     ext = os.path.splitext(base)[1].lower()
+    if ext == ".parquet":
+        return parquet_rows(data)
     text = data.decode("utf-8", "replace")
     if ext in (".csv", ".tsv", ".tab"):
         frame = pd.read_csv(io.StringIO(text), sep="," if ext == ".csv" else "\t", dtype=str, keep_default_na=False)
         return [json.dumps(r, ensure_ascii=False) for r in frame.to_dict("records")]
     if ext == ".json":
         return json_rows(text)
-    return [x for x in text.splitlines() if x.strip()]
+    return [x for line in text.splitlines() if line.strip() for x in [line_mended(line)] if x]
 
 
 def _wanted(name: str, include, exclude) -> bool:
@@ -198,19 +253,25 @@ def _wanted(name: str, include, exclude) -> bool:
 
 
 @register((".zip",), "zip")
-def read_zip(spark, paths, member_include=None, member_exclude=None, **_) -> DataFrame:
+def read_zip(spark, paths, member_include=None, member_exclude=None, member_filter: Callable[[str], bool] | None = None, **_) -> DataFrame:
+    """Records of the members that the patterns and the function let through."""
+
     def rows(path, data):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return [(r, m) for m in z.namelist() if not m.endswith("/") and _wanted(m, member_include, member_exclude) for r in member_rows(m, z.read(m))]
+            names = [m for m in z.namelist() if not m.endswith("/") and _wanted(m, member_include, member_exclude) and (member_filter is None or member_filter(m))]
+            return [(r, m) for m in names for r in member_rows(m, z.read(m))]
 
     return _decoded(_binary(spark, paths), rows)
 
 
 @register((".tar", ".tgz", ".tbz2", ".txz"), "tar")
-def read_tar(spark, paths, member_include=None, member_exclude=None, **_) -> DataFrame:
+def read_tar(spark, paths, member_include=None, member_exclude=None, member_filter: Callable[[str], bool] | None = None, **_) -> DataFrame:
+    """Records of the members that the patterns and the function let through."""
+
     def rows(path, data):
+        name, data = decompress(path, data) if path.endswith(".zst") else (path, data)
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            return [(r, m.name) for m in t if m.isfile() and _wanted(m.name, member_include, member_exclude) for r in member_rows(m.name, t.extractfile(m).read())]
+            return [(r, m.name) for m in t if m.isfile() and _wanted(m.name, member_include, member_exclude) and (member_filter is None or member_filter(m.name)) for r in member_rows(m.name, t.extractfile(m).read())]
 
     return _decoded(_binary(spark, paths), rows)
 
@@ -231,28 +292,40 @@ class Plan:
         return out
 
 
-def plan_directories(roots: list[str], include: list[str] | None = None, exclude: list[str] | None = None, order: list[str] | None = None) -> Plan:
+def listed(root: str, spark: SparkSession | None) -> list[tuple[str, float]]:
+    """(path, time of change) of all files under a root: of Spark's file systems if a session is given, else of local disks."""
+    if spark is None:
+        return [(path, os.path.getmtime(path)) for folder, _, names in os.walk(root) for n in names for path in [os.path.join(folder, n)]]
+    start = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files, out = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(start, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString().removeprefix("file:"), f.getModificationTime() / 1000))
+    return out
+
+
+def plan_directories(roots: list[str], include: list[str] | None = None, exclude: list[str] | None = None, order: list[str] | None = None, spark: SparkSession | None = None) -> Plan:
     """Files under the roots that match, sorted by the first pattern of ``order`` that fits, then time, then path."""
     found = []
     for root in roots:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                path = os.path.join(folder, n)
-                if _wanted(path, include, exclude):
-                    try:
-                        found.append((path, reader_of(path)[0]))
-                    except ValueError:
-                        continue
+        for path, time in listed(root, spark):
+            if _wanted(path, include, exclude):
+                try:
+                    found.append((path, reader_of(path)[0], time))
+                except ValueError:
+                    continue
     rank = lambda p: next((i for i, x in enumerate(order or ()) if fnmatch.fnmatch(p, x)), len(order or ()))
-    return Plan(sorted(found, key=lambda f: (rank(f[0]), os.path.getmtime(f[0]), f[0])))
+    return Plan([(p, r) for p, r, _ in sorted(found, key=lambda f: (rank(f[0]), f[2], f[0]))])
 
 
-def read_plan(spark: SparkSession, plan: Plan, options: dict[str, dict] | None = None, **common) -> DataFrame:
-    """All records of a plan: raw, path, member."""
+def read_plan(spark: SparkSession, plan: Plan, options: dict[str, dict] | None = None, report: bool = False, **common) -> DataFrame:
+    """All records of a plan: raw, path, member. With ``report``, also a row without raw for each file that can't be read, the error as its member."""
     out = None
     for name in dict.fromkeys(r for _, r in plan.files):
         paths = [p for p, r in plan.files if r == name]
         read = next(f for _, n, f in REGISTRY if n == name)
         df = read(spark, paths, **(common | (options or {}).get(name, {})))
         out = df if out is None else out.union(df)
-    return out if out is not None else spark.createDataFrame([], RECORD)
+    if out is None:
+        return spark.createDataFrame([], RECORD)
+    return out if report else out.where(F.col("raw").isNotNull())
