@@ -9,22 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, utf8
+from skein.llm.common import bound_batches, chunks, release, utf8
 
 #: Walks, and the steps of a walk that an item's key takes, by the item's letters from so many on: short items have fewer
 #: words to begin a key at. Fitted to find RECALL of the windows with MOST_EDITS random edits of letters.
-REPEATS, RECALL = 3, 0.95
+REPEATS, RECALL = 4, 0.95
 STEPS_FROM = ((0, 13), (120, 15), (180, 17), (260, 18))
 STEPS = STEPS_FROM[-1][1]
 #: A window is a hit if its edit distance is at most this share of the item.
 MOST_EDITS = 0.2
 #: So many items go through the documents at once.
 ITEM_BLOCK = 20_000
-BLOCK_BYTES, SEED, TABLE = 4_000_000, 20_240_501, 1 << 22
+BLOCK_BYTES, SEED, TABLE = 4_000_000, 20_240_501, 1 << 20
 #: From so many words of an item on, keys from so many different words must suggest about the same place.
 AGREE_FROM = ((0, 1), (10, 2), (18, 3))
-#: Windows looked up at once, begins of an item's windows that are verified as one, letters of a gram of the count filter.
-WINDOWS, NEAR, GRAM = 1 << 20, 16, 4
+#: Windows that one task's arrays hold, and so many of them embedded at once, begins of an item's windows that are verified as one, letters of a gram of the count filter.
+WINDOWS, CACHED, NEAR, GRAM = 1 << 20, 1 << 16, 16, 3
+#: Items of fewer letters than this have no keys: they count where they stand letter by letter, as whole words.
+SHORT = 24
+#: Words of 64 bits in the bit vectors that are stepped at once.
+LANES = 1 << 13
 #: Of the letters that a text is folded to: a-z as 1 to 26, digits, all bytes of other letters as they are.
 FOLD = np.zeros(256, np.uint8)
 FOLD[[*range(97, 123)]] = FOLD[[*range(65, 91)]] = np.arange(97, 123)
@@ -79,8 +83,10 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray, lo: int) -> np.ndarray:
+    """Where words begin, and where letters of three or more bytes do, as scripts that have these may be written without spaces."""
     inside = data != 32
     start = inside & np.concatenate([[True], ~inside[:-1]])
+    start |= data >= 0xE0
     begins = offsets[:-1] - lo
     start[begins[begins < len(data)]] = True
     return np.flatnonzero(start & inside)
@@ -142,12 +148,41 @@ class Items:
             self.found.append([])
             for c, all_keys in enumerate(self.walks.keys(data, starts, r)):
                 # a key looks at about half as many letters as steps; where less is left, only an item's own start counts
-                own = np.flatnonzero((kind[item] == c) & ((left >= steps[c] // 2 + 4) | (starts == offsets[item])))
+                own = np.flatnonzero((kind[item] == c) & (length[item] >= SHORT) & ((left >= steps[c] // 2 + 4) | (starts == offsets[item])))
                 own = own[np.argsort(all_keys[own], kind="stable")]
                 keys, first = np.unique(all_keys[own], return_index=True)
                 self.found[r].append((keys, np.append(first, len(own)), item[own], (starts - offsets[item])[own]))
                 self.there[r, c, (keys & np.uint64(TABLE - 1)).astype(np.int64)] = True
 
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        for i, t in enumerate(self.text):
+            if 0 < len(t) < SHORT:
+                self.short[t].append(i)
+
+    def whole(self, part: np.ndarray, starts: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, begin) of the short items that stand word for word at these starts."""
+        out, sizes = [], sorted({*map(len, self.short)})
+        if not sizes:
+            return out
+        padded = np.concatenate([part, np.full(SHORT + 1, 32, np.uint8)])
+        mix = lambda h, letter: (h ^ letter.astype(np.uint64)) * np.uint64(0x100000001B3)
+        h = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
+        row = np.searchsorted(at, starts, "right") - 1
+        for n in range(1, sizes[-1] + 1):
+            h = mix(h, padded[starts + n - 1])
+            if n not in sizes:
+                continue
+            wanted = [t for t in self.short if len(t) == n]
+            codes = np.full(len(wanted), 0xCBF29CE484222325, np.uint64)
+            for k in range(n):
+                codes = mix(codes, np.array([t[k] for t in wanted]))
+            ends = starts + n
+            free = (ends >= at[row + 1]) | (padded[ends] == 32) | (padded[ends] >= 0xE0)
+            for k in np.flatnonzero(np.isin(h, codes) & free & (ends <= at[row + 1])).tolist():
+                for i in self.short.get(part[starts[k] : ends[k]].tobytes(), ()):
+                    out.append((int(row[k]), i, int(starts[k])))
+        return out
+
     def candidates(self, part: np.ndarray, some: np.ndarray) -> np.ndarray:
         """Rows of items, keys' starts and windows' begins that the keys from these starts on suggest."""
         out = [np.zeros((3, 0), np.int64)]
@@ -174,7 +209,8 @@ class Items:
         place = begin // NEAR + self.gap * (np.searchsorted(at, start, "right") - 1)
         low, shift = int(place.min()), int(at[-1]).bit_length()
         wide = int(place.max()) - low + 3
-        both = np.unique((item * wide + place - low) << shift | start)
+        both = np.sort((item * wide + place - low) << shift | start)
+        both = both[np.concatenate([[True], np.diff(both) != 0])]
         codes, first, many = np.unique(both >> shift, return_index=True, return_counts=True)
         beside = np.zeros(len(codes), np.int64)
         touching = np.flatnonzero(np.diff(codes) == 1)
@@ -191,11 +227,18 @@ class Items:
         for lo, hi in chunks(offsets, BLOCK_BYTES):
             part, at = fold(data[offsets[lo] : offsets[hi]].copy(), offsets[lo : hi + 1] - offsets[lo])
             starts, gram = word_starts(part, at, 0), grams(part)
+
+            def note(row, i, d, start, lo=lo):
+                best[row + lo, i] = min(best.get((row + lo, i), (1 << 30, 0)), (d, start))
+
+            for row, i, begin in self.whole(part, starts, at):
+                note(row, i, 0, begin - int(at[row]))
             for a in range(0, len(starts), WINDOWS):
                 some = starts[a : a + WINDOWS]
-                item, start, begin = self.candidates(part, some)
+                item, start, begin = np.concatenate([self.candidates(part, some[b : b + CACHED]) for b in range(0, len(some), CACHED)], axis=1)
                 new = self.agreeing(item, start, begin, at)
                 firsts = np.searchsorted(new[0], np.arange(len(self.ids) + 1))
+                left = []
                 for i in np.flatnonzero(np.diff(firsts)).tolist():
                     text = self.text[i]
                     most = int(MOST_EDITS * len(text))
@@ -208,54 +251,77 @@ class Items:
                         places = near[b : b + 1024, None] + np.arange(-most, len(text) + most + 2 * NEAR)
                         of = number[gram[np.clip(places, 0, len(gram) - 1)]] + np.arange(len(places))[:, None] * (len(known) + 1)
                         seen = np.bincount(of.ravel(), minlength=len(places) * (len(known) + 1)).reshape(len(places), -1)[:, 1:]
-                        enough = np.minimum(seen, counts).sum(1) >= least
-                        for row, begin in zip(rows[b : b + 1024][enough].tolist(), near[b : b + 1024][enough].tolist()):
-                            low, high = int(at[row]), int(at[row + 1])
-                            d, start = verify(text, part, begin, most, low, high)
-                            if d <= most and (d, start - low) < best.get((row + lo, i), (1 << 30, 0)):
-                                best[row + lo, i] = (d, start - low)
+                        enough = np.flatnonzero(np.minimum(seen, counts).sum(1) >= least) + b
+                        left.append(np.stack([np.full(len(enough), i), rows[enough], np.maximum(at[rows[enough]], near[enough] - most), np.minimum(at[rows[enough] + 1], near[enough] + 2 * NEAR + len(text) + most)]))
                     number[known] = 0
+                if left:
+                    for i, row, begin, end in self.verified(part, np.concatenate(left, axis=1)):
+                        # the window's end is found from any start; its start by the item reversed
+                        text = self.text[i]
+                        d, size = edit_distance(text[::-1], part[begin:end].tobytes()[::-1], int(MOST_EDITS * len(text)))
+                        note(row, i, d, end - size - int(at[row]))
         return [(row, item, start, d) for (row, item), (d, start) in sorted(best.items())]
 
-
-def verify(text: bytes, data: np.ndarray, begin: int, most: int, low: int, high: int) -> tuple[int, int]:
-    """(distance, start) of the item's best window among those that begin within 2 * NEAR after ``begin``, more or less ``most``."""
-    a, b = max(low, begin - most), min(high, begin + 2 * NEAR + len(text) + most)
-    window = data[a:b].tobytes()
-    exact = window.find(text)
-    if exact >= 0:
-        return 0, a + exact
-    # the window's end first (from any start: the item reversed), then its start
-    d, end = anywhere(text, window)
-    if d > most:
-        return d, begin
-    d, size = edit_distance(text[::-1], window[:end][::-1], most)
-    return d, a + end - size
-
-
-def anywhere(a: bytes, b: bytes) -> tuple[int, int]:
-    """(distance, end) of a's best substring in b; equal distances: the first end."""
-    m = len(a)
-    peq: dict[int, int] = defaultdict(int)
-    for i, c in enumerate(a):
-        peq[c] |= 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(b):
-        eq = peq[c] if c in peq else 0
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += 1 if ph & top else -1 if mh & top else 0
-        ph, mh = ph << 1 & full, mh << 1 & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return best, end
-
-
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, distance): each benchmark item that a document holds, whole or nearly.
+    def verified(self, part: np.ndarray, places: np.ndarray):
+        """(item, row, begin, end) of those places (item, row, begin, end) that hold a window within MOST_EDITS, with the best one's end."""
+        item, row, begin, end = places
+        size = np.array([len(t) for t in self.text])[item]
+        words = -(-size // 64)
+        order = np.lexsort((end - begin, words))
+        first = 0
+        while first < len(order):
+            w = int(words[order[first]])
+            lanes = order[first : first + max(1, LANES // w)]
+            lanes = lanes[words[lanes] == w]
+            first += len(lanes)
+            of, inverse = np.unique(item[lanes], return_inverse=True)
+            d, stop = anywhere([self.text[i] for i in of.tolist()], inverse, part, begin[lanes], end[lanes])
+            for k in np.flatnonzero(d <= (MOST_EDITS * size[lanes]).astype(np.int64)).tolist():
+                p = lanes[k]
+                yield int(item[p]), int(row[p]), int(begin[p]), int(begin[p] + stop[k])
+
+
+def anywhere(texts: list[bytes], which: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end): of each lane's text (texts[which]) to its best substring of data[begin:end]; equal distances: the first end.
+
+    Exact, by Myers' bit vectors, all lanes a letter further at each step. The texts take the same number of words of 64 bits.
+    """
+    lanes, one, top = len(which), np.uint64(1), np.uint64(63)
+    words = -(-len(texts[0]) // 64)
+    equal = np.zeros((len(texts), 256, words), np.uint64)
+    for i, t in enumerate(texts):
+        letters, at = np.frombuffer(t, np.uint8), np.arange(len(t))
+        np.bitwise_or.at(equal, (i, letters, at >> 6), one << (at & 63).astype(np.uint64))
+    equal = equal.reshape(len(texts) * 256, words)
+    size = np.array([len(t) for t in texts])[which]
+    last = ((size - 1) & 63).astype(np.uint64)
+    pv, mv = np.full((words, lanes), ~np.uint64(0)), np.zeros((words, lanes), np.uint64)
+    score, best, stop = size.copy(), size.copy(), np.zeros(lanes, np.int64)
+    wide = end - begin
+    base = which * 256
+    for j in range(int(wide.max(initial=0))):
+        letter = data[np.minimum(begin + j, len(data) - 1)]
+        eqs = equal[base + letter]
+        up = down = np.zeros(lanes, np.uint64)  # whether the row above grows or shrinks by one: not above the first
+        for b in range(words):
+            eq, p, m = eqs[:, b], pv[b], mv[b]
+            xv = eq | m
+            eq = eq | down
+            xh = (((eq & p) + p) ^ p) | eq
+            ph, mh = m | ~(xh | p), p & xh
+            bit = top if b < words - 1 else last
+            new_up, new_down = (ph >> bit) & one, (mh >> bit) & one
+            ph, mh = (ph << one) | up, (mh << one) | down
+            pv[b], mv[b] = mh | ~(xv | ph), ph & xv
+            up, down = new_up, new_down
+        score = score + up.astype(np.int64) - down.astype(np.int64)
+        better = (score < best) & (j < wide)
+        best[better], stop[better] = score[better], j + 1
+    return best, stop
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with item_id, start, distance: each benchmark item that a document holds, whole or nearly.
 
     Both texts are folded to lower-case letters and digits with single spaces. A window of the item's size
     counts if its edit distance is at most a fifth of the item's length. Windows from every word of a
@@ -264,33 +330,39 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     (which loses no hit) allows one, it is verified exactly. Keys aim at RECALL of windows with a fifth of
     random edits; windows with fewer edits are found more often, exact ones always. start is the window's place in the
     folded text. The items are a stated query set: they are read to the driver and sent out in blocks of
-    ITEM_BLOCK, so a broadcast's size is bounded. Items with fewer than 3 words, empty or null ones, and
+    ITEM_BLOCK, so a broadcast's size is bounded. Items of fewer than SHORT letters have too few for keys: they
+    count where they stand letter by letter, as whole words. Items without letters or digits, null ones, and
     null or empty documents give no rows. An item twice under one id counts once, at its best window.
     Repeated documents give a row each.
     """
     spark = docs.sparkSession
-    wanted = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
+    bound_batches(spark)
+    wanted = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = wanted.count()
     blocks = max(1, -(-n // ITEM_BLOCK))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "text")
+    names = [f"k{i}" for i in range(len(keep))] + ["item_id", "start", "distance"]
+    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema[: len(keep)])] + ["item_id long, start int, distance int"])
     out = None
     for b in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else wanted
-        rows = [(r["item_id"], r["text"]) for r in mine.toLocalIterator() if len(r["text"].split()) >= 3]
-        if not rows:
+        texts = [(r["item_id"], r["text"]) for r in mine.toLocalIterator()]
+        if not texts:
             continue
 
-        def run(batches, rows=rows):
-            known = Items(rows)
+        def run(batches, texts=texts):
+            known = Items(texts)
             for batch in batches:
-                ids = batch.column(0)
-                hits = known.hits(*utf8(batch.column(1)))
+                hits = known.hits(*utf8(batch.column(len(keep))))
                 row, item, start, d = zip(*hits) if hits else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row, pa.int64())), pa.array([known.ids[i] for i in item], pa.int64()), pa.array(start, pa.int32()), pa.array(d, pa.int32())], names=["doc_id", "item_id", "start", "distance"]
-                )
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keep))], pa.array([known.ids[i] for i in item], pa.int64()), pa.array(start, pa.int32()), pa.array(d, pa.int32())], names=names)
+                del batch
+            del known
+            release()
 
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start int, distance int")
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start int, distance int")
-    return out
+        return spark.createDataFrame([], schema).toDF(*keep, *names[len(keep) :])
+    return out.toDF(*keep, *names[len(keep) :])
