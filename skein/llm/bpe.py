@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
-from skein.llm.common import chunks
+from skein.llm.common import bound_batches, chunks, release
 
 #: Words that are folded once and remembered: the commonest of a sample of so many documents' words.
 MEMORY_WORDS, SAMPLE_DOCS = 300_000, 60_000
@@ -25,8 +26,8 @@ IDS, LOWS = (1 << ID_BITS) - 1, (1 << LOW_BITS) - 1
 PLACES = LOWS - IDS
 #: Words that are looked up together, of whole texts; one text at least.
 WORDS_AT_ONCE = 400_000
-#: Most bytes of an Arrow batch between Spark and Python; one row at least.
-BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Words of more bytes than this are merged with a heap: a fold copies its array at every merge, so its time is a square.
+LONG_WORD = 512
 #: Stands for a word to be folded among a document's ids.
 GAP = 0xFFFFFFFF
 
@@ -138,18 +139,43 @@ def remembered(docs: DataFrame, ranks: Ranks, pattern: str) -> pa.Table:
     """word, ids of at most MEMORY_WORDS distinct words, each folded once. Which words changes no result."""
     n = docs.count()
     rate = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30))
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= rate)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= rate)
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = words.where((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(MEMORY_WORDS).select("word")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return top.repartition(parts, "word").select("word", ranks.fold(F.col("word")).alias("ids")).toArrow()
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays."""
-    now = SparkContext._active_spark_context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+def merged(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """The ids of one word by the same rule as the fold: the lowest rank first, the leftmost of equal ones. ``longest``: of the pieces."""
+    n = len(word)
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # a piece begins at i and ends at after[i]
+
+    def pair(i: int) -> tuple[int, int, int, int] | None:
+        mid = after[i]
+        if mid >= n or after[mid] - i > longest:
+            return None
+        rank = ranks.get(word[i : after[mid]])
+        return None if rank is None else (rank, i, mid, after[mid])
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        _, i, mid, end = heapq.heappop(heap)
+        if gone[i] or after[i] != mid or gone[mid] or after[mid] != end:
+            continue
+        gone[mid], after[i] = 1, end
+        if end < n:
+            before[end] = i
+        for k in (before[i], i):
+            if k >= 0 and (p := pair(k)):
+                heapq.heappush(heap, p)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
 
 def expand(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +193,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
     bytes between matches do not occur with this pattern. Null and empty texts have no ids, and the digests
     of no bytes. ids are digested as little-endian unsigned 32-bit integers; the decoded bytes are the ids'
     pieces joined. One row per input row, repeats included. The session's Arrow batches are bounded by
-    BATCH_BYTES from then on, as a plan takes that setting when it runs.
+    BATCH_BYTES from then on, as a plan takes that setting when it runs. Columns of ``keep`` may have any names.
+    Words of over LONG_WORD bytes are merged with a heap, so a very long word takes n log n steps.
     """
     keep = keep or ["doc_id"]
     bound_batches(docs.sparkSession)
+    docs = docs.select("text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    names, keep = keep, [f"k{i}" for i in range(len(keep))]
     vocabulary = load_ranks(path)
     ranks, java = Ranks(vocabulary), java_pattern(pattern)
     memory = remembered(docs.where(F.col("text").isNotNull()), ranks, java)
@@ -184,55 +213,75 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: list[str] | No
         raise ValueError("ranks have gaps")
     piece_bytes = np.frombuffer(b"".join(ordered), np.uint8)
     piece_at = np.cumsum([0, *map(len, ordered)])
+    longest = max(map(len, ordered))
 
     def look_up(batches):
         for whole in batches:
             yield from coded(whole)
             del whole  # not held while the next one is read
+        release()
 
     def coded(whole):
-        lists = whole.column(0)
-        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        """Rows with their known ids, a GAP for each other word, and those words' numbers in the list of the chunk's first row."""
+        size = pc.fill_null(pc.list_value_length(whole.column(0)), 0).to_numpy()
         for lo, hi in chunks(np.concatenate([[0], np.cumsum(size)]), WORDS_AT_ONCE):
             batch = whole.slice(lo, hi - lo)
             words = batch.column(0).fill_null([]) if batch.column(0).null_count else batch.column(0)
             flat_words = words.flatten()
-            at = pc.fill_null(pc.index_in(flat_words, value_set=known), len(known)).to_numpy()
+            at = pc.fill_null(pc.index_in(flat_words, value_set=known), len(known)).to_numpy().copy()
+            own_flat, own_starts = flat, starts
+            long_words = np.flatnonzero((at == len(known)) & (pc.binary_length(flat_words).to_numpy() > LONG_WORD))
+            if len(long_words):
+                more = [np.array(merged(flat_words[w].as_py().encode(), vocabulary, longest), np.uint32) for w in long_words.tolist()]
+                at[long_words] = len(starts) - 1 + np.arange(len(more))
+                own_flat, own_starts = np.concatenate([flat, *more]), np.concatenate([starts, starts[-1] + np.cumsum([*map(len, more)])])
             missing = at == len(known)
+            other = flat_words.filter(pa.array(missing)).dictionary_encode()
             ends = np.concatenate([[0], np.cumsum(size[lo:hi])])
-            got, wide = expand(flat, starts, at)
+            got, wide = expand(own_flat, own_starts, at)
             cut = np.concatenate([[0], np.cumsum(wide)])[ends]
             lost = np.concatenate([[0], np.cumsum(missing)])[ends]
-            raw = got.tobytes()
+            raw, which = got.tobytes(), other.indices.to_numpy().astype(np.int32).tobytes()
+            lists = np.full(len(batch) + 1, len(other.dictionary), np.int32)
+            lists[0] = 0
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lost, pa.int32()), flat_words.filter(pa.array(missing)))],
-                names=[*keep, "_ids", "_words"],
+                [*[batch.column(i + 1) for i in range(len(keep))], pa.array([raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([which[4 * a : 4 * b] for a, b in zip(lost[:-1], lost[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(lists), other.dictionary)],
+                names=[*keep, "ids", "at", "words"],
             )
 
     def finish(batches):
+        """Rows come in the order in which coded() gave them: the words' ids of a chunk come with its first row."""
+        own, own_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         for batch in batches:
             n, first, second = [], [], []
-            for raw, rest in zip(batch.column(0), batch.column(1)):
-                ids = np.frombuffer(raw.as_py(), np.uint32)
+            for raw, at, rest in zip(*batch.columns[:3]):
                 if len(rest):
-                    gaps = np.flatnonzero(ids == GAP)
-                    own = rest.values
+                    own = rest.values.flatten().to_numpy().astype(np.uint32)
+                    own_starts = np.concatenate([[0], np.cumsum(pc.list_value_length(rest.values).to_numpy())]).astype(np.int64)
+                ids = np.frombuffer(raw.as_py(), np.uint32)
+                which = np.frombuffer(at.as_py(), np.int32)
+                if len(which):
+                    gap = ids == GAP
+                    got, wide = expand(own, own_starts, which)
                     size = np.ones(len(ids), np.int64)
-                    size[gaps] = pc.list_value_length(own).to_numpy()
+                    size[gap] = wide
                     out = np.repeat(ids, size)
-                    out[np.repeat(ids == GAP, size)] = own.flatten().to_numpy()
+                    out[np.repeat(gap, size)] = got
                     ids = out
                 n.append(len(ids))
                 first.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 digest = hashlib.sha256()
-                for a in range(0, len(ids), 1 << 20):
-                    digest.update(expand(piece_bytes, piece_at, ids[a : a + (1 << 20)])[0].tobytes())
+                for a in range(0, len(ids), 1 << 18):
+                    digest.update(expand(piece_bytes, piece_at, ids[a : a + (1 << 18)])[0].tobytes())
                 second.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i + 2) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            del batch
+        release()
 
     kept = docs.select(*keep).schema
     more = lambda d, **kinds: ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d] + [f"{k} {v}" for k, v in kinds.items()])
-    split = docs.select(F.regexp_extract_all("text", F.lit(java), F.lit(0)).alias("_w"), *keep)
-    found = split.mapInArrow(look_up, more(kept, _ids="binary", _words="array<string>"))
-    folded = found.select("_ids", F.transform("_words", ranks.fold).alias("_rest"), *keep)
-    return folded.mapInArrow(finish, more(kept, n_tokens="long", ids_sha256="string", decoded_sha256="string"))
+    split = docs.select(F.regexp_extract_all("text", F.lit(java), F.lit(0)).alias("words"), *keep)
+    found = split.mapInArrow(look_up, more(kept, ids="binary", at="binary", words="array<string>"))
+    folded = found.select("ids", "at", F.transform("words", ranks.fold).alias("rest"), *keep)
+    done = folded.mapInArrow(finish, more(kept, n_tokens="long", ids_sha256="string", decoded_sha256="string"))
+    return done.toDF(*names, "n_tokens", "ids_sha256", "decoded_sha256")

@@ -4,35 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, utf8
+from skein.llm.common import bound_batches, chunks, release, utf8
 
 ORDER = 4
-#: A model learns from so many texts of a language at most, none of them longer than MOST_CHARS.
-SAMPLE_TEXTS, MOST_CHARS = 300, 20_000
-BLOCK_BYTES = 2_000_000
+#: A model learns from so many whole texts of a language at most, of so many bytes together (the first one of any size).
+SAMPLE_TEXTS, SAMPLE_BYTES = 300, 2_000_000
+#: More labels than this are no column of languages: an error.
+MOST_LANGS = 500
+BLOCK_BYTES = 500_000
 
 
-def training_sample(docs: DataFrame, allowed: Column, texts: int = SAMPLE_TEXTS) -> list:
-    """At most ``texts`` (lang, text) rows of each language, chosen by a hash of doc_id."""
-    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def training_sample(docs: DataFrame, allowed: Column, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> list:
+    """At most ``texts`` (lang, text) rows of each language, whole and of any length, in the order of a hash of doc_id.
+
+    A language's sample ends before the row that would pass ``size`` bytes, but holds one row at least.
+    """
+    usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} values of lang")
     if not counts:
         return []
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
     rate = F.lit(0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * 1.3 * texts / n) + 1))).otherwise(rate)
-    rows = usable.withColumn("at", at).where(F.col("at") < rate).select("lang", "at", "text").collect()
-    kept: dict[str, int] = {}
-    out = []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["at"])):
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= texts:
-            out.append((r["lang"], r["text"]))
-    return out
+    drawn = usable.withColumn("at", at).where(F.col("at") < rate)
+    # the order alone first: texts are fetched only for the rows that count
+    wide = Window.partitionBy("lang").orderBy("at", "bytes", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = drawn.withColumn("bytes", F.octet_length("text")).withColumns({"k": F.count("*").over(wide), "all": F.sum("bytes").over(wide)})
+    rows = sizes.where((F.col("k") == 1) | ((F.col("k") <= texts) & (F.col("all") <= size))).select("lang", "k", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["k"]))]
 
 
 def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -130,6 +135,7 @@ def identify(docs: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
     Other columns pass unchanged; columns named as the added ones are replaced. No rows give no rows.
     """
     model, added = PPM(texts), ("lang_pred", "score", "bits_per_byte")
+    bound_batches(docs.sparkSession)
     docs = docs.drop(*added)
     keep = docs.columns
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}).schema
@@ -150,6 +156,8 @@ def identify(docs: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(langs, pa.string()), pa.array(np.where(good, share, 0.0)), pa.array(np.where(good, low[:, 0] / size, 0.0))], names=[*keep, *added]
             )
+            del batch, cols, data, offsets
+            release()
 
     return lettered.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import chunks, connected_components, utf8
+from skein.llm.common import bound_batches, checkpoint, connected_components, release, utf8
 
 BITS, BUDGET, SHINGLE = 64, 2, 3
 #: Fingerprints that differ in 2 bits agree in two of four blocks at least; so many pairs of blocks there are.
@@ -30,17 +30,21 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns ``keep``."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw = data.tobytes()
             fps = [fingerprint(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
+            del batch, data, offsets, raw
+        release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:]]]))
 
 
 class Forest:
@@ -135,6 +139,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def components(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, root (the fingerprint that stands for the component), component_id and the columns ``keep`` of every row."""
+    fps = checkpoint(fingerprints(docs, keep))
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = connected_components(links(groups.select("fp")))
+    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(named.join(low, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row.
 
@@ -143,16 +157,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     so copies are never paired. Repeated doc_ids give a row each; rows with null doc_id keep it and never
     name a component unless no other id is there.
     """
-    fps = fingerprints(docs)
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    from skein.llm.common import checkpoint
-
-    groups = checkpoint(groups)
-    roots = connected_components(links(groups.select("fp")))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-__all__ = ["chunks", "fingerprint", "fingerprints", "links", "near_duplicates", "trie_links"]
+    return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
