@@ -12,6 +12,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 DAMPING, ROUNDS = 0.85, 12
 #: A host is blocked by the method when its distrust is over so many times its trust, and over the floor.
 RATIO, FLOOR = 1.0, 1e-12
+#: Parts in which a host's rows, or its links, are joined: one host may hold a third of all.
+SALTS = 16
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -30,25 +32,38 @@ def matching(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def salted(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def in_all_parts(df: DataFrame) -> DataFrame:
+    """Each row once for each salt: for the side that has one row for a host."""
+    return df.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def spread(nodes: DataFrame, edges: DataFrame, seed: str, source: str, target: str) -> DataFrame:
-    """(host, rank): personalised PageRank from the seed weights, over edges source -> target.
+    """(host, rank): personalised PageRank from the seed weights (of all hosts together at most 1), over edges source -> target.
 
-    A source's rank goes to its targets by their weights. What has no target is lost, so ranks are a lower
-    bound that sums to 1 at most. Both joins are by host, and sums are pre-aggregated.
+    A source's rank goes to its targets by their weights, that of hosts without targets back to the seeds, so
+    the ranks add up to the seed weights. Both joins are by host, a hub's links are salted, sums are pre-aggregated.
     """
-    total = nodes.agg(F.sum(seed).alias("all"))
-    start = checkpoint(nodes.join(F.broadcast(total)).select("host", F.when(F.col("all") > 0, F.col(seed) / F.col("all")).otherwise(0.0).alias("seed")))
     out = edges.groupBy(source).agg(F.sum("w").alias("all"))
-    steps = checkpoint(edges.join(out, source).select(F.col(source).alias("a"), F.col(target).alias("b"), (F.col("w") / F.col("all")).alias("share")))
-    rank = start.select("host", F.col("seed").alias("rank"))
+    steps = checkpoint(edges.withColumn("salt", salted(F.col(target))).join(in_all_parts(out), [source, "salt"]).select(F.col(source).alias("host"), "salt", F.col(target).alias("b"), (F.col("w") / F.col("all")).alias("share")))
+    start = nodes.select("host", F.col(seed).alias("seed"))
     if steps.isEmpty():
-        return start.select("host", ((1 - DAMPING) * F.col("seed")).alias("rank"))
+        return start.withColumnRenamed("seed", "rank")
+    start = checkpoint(start.join(out.select(F.col(source).alias("host"), F.lit(True).alias("leads")), "host", "left"))
+    weight = start.agg(F.sum("seed").alias("weight"))
+    rank = start.select("host", "leads", "seed", F.col("seed").alias("rank"))
     for k in range(ROUNDS):
-        moved = steps.join(rank.where("rank > 0"), steps["a"] == rank["host"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        rank = start.join(moved, "host", "left").select("host", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 4 == 3:
+        moved = steps.join(in_all_parts(rank.where("rank > 0").select("host", "rank")), ["host", "salt"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        lost = rank.where(F.col("leads").isNull()).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        back = F.when(F.col("weight") > 0, F.col("seed") / F.col("weight") * F.col("lost")).otherwise(0.0)
+        new = (1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("got", F.lit(0.0)) + back)
+        rank = start.join(moved, "host", "left").join(F.broadcast(lost.join(F.broadcast(weight)))).select("host", "leads", "seed", new.alias("rank"))  # lost, weight: one row each
+        if k % 3 == 2:
             rank = checkpoint(rank)
-    return rank
+    return rank.select("host", "rank")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -56,7 +71,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule decides.
     Else the host's trust does: trusted seeds are hosts with allowed pages, blocked seeds hosts with blocked
-    pages, each by the number of pages. Trust follows links, distrust goes against them, both by personalised
+    pages, each by the number of pages as a share of all such pages. Trust follows links, distrust goes against them, both by personalised
     PageRank over host edges (absolute links between different hosts in the html). A host with more distrust
     than trust is blocked; no rank at all means allow. Null url: host and path "", judged allow. Each input
     row gives one row, repeats included; null html has no links.
@@ -70,9 +85,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     edges = linked.select("a", host_path(F.col("to"))[0].alias("b")).where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count("*").alias("w"))
     edges = checkpoint(edges)
     known = edges.select(F.explode(F.array("a", "b")).alias("host")).distinct()
-    nodes = checkpoint(nodes.join(known, "host", "full").select("host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad")))
+    nodes = nodes.join(known, "host", "full").select("host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    total = nodes.agg(F.greatest(F.sum(F.col("good") + F.col("bad")), F.lit(1)).alias("seeds"))
+    nodes = checkpoint(nodes.join(F.broadcast(total)).select("host", (F.col("good") / F.col("seeds")).alias("good"), (F.col("bad") / F.col("seeds")).alias("bad")))  # total is one row
     trust = spread(nodes, edges, "good", "a", "b").withColumnRenamed("rank", "trust")
     distrust = spread(nodes, edges, "bad", "b", "a").withColumnRenamed("rank", "distrust")
     blocked = distrust.join(trust, "host").where((F.col("distrust") > F.lit(FLOOR)) & (F.col("distrust") > RATIO * F.col("trust"))).select("host", F.lit("block").alias("method"))
-    out = judged.select("page_id", "host", "path", "rule", "v").join(blocked, "host", "left")
+    out = judged.select("page_id", "host", "path", "rule", "v", salted(F.struct("page_id", "path"))).join(in_all_parts(blocked), ["host", "salt"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("v", "method", F.lit("allow")).alias("verdict"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.llm import ann, bpe, decontaminate, html_text, language_id, maxent_lm, simhash, token_counts, tool_calls, url_filter
 
 LONG = "anoninth ther whtion, " * 3000
-TEXTS = ["", None, "Hello WORLD's  the\tend\n\n", "héé ñandú Straße 12345 ½ x²", LONG, "the the", "the the", "   ", "a" * 700, "日本語のテキスト 😀😀 ok", "İΣΟΣ <|endoftext|> don't", "x\u0085y  z　"]
+TEXTS = ["", None, "Hello WORLD's  the\tend\n\n", "héé ñandú Straße 12345 ½ x²", LONG, "the the", "the the", "   ", "a" * 700, "ab" * 100_000 + " xq" * 5, " ".join(f"zq{i % 7}v" for i in range(400)), "日本語のテキスト 😀😀 ok", "İΣΟΣ <|endoftext|> don't", "x\u0085y  z　"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string"
 
 

@@ -93,6 +93,6 @@ def test_maxent_lm_trains_on_every_position(spark, monkeypatch):
     words = sorted({w for t in texts for w in (t or "").split()})
     top = [(b"", 25), *[(w.encode(), 5) for w in words]]
     seen = spark.sparkContext.accumulator(0)
-    monkeypatch.setattr(maxent_lm, "learn", lambda weights, f, classes, squares: seen.add(len(classes)))
-    maxent_lm.train(docs, maxent_lm.Classes(top, []))
+    monkeypatch.setattr(maxent_lm, "learn", lambda model, squares, f, of: seen.add(len(of)))
+    maxent_lm.train(docs, maxent_lm.Classes(top, np.zeros((len(top), maxent_lm.ANCHORS))))
     assert seen.value == sum(len((t or "").split()) + 1 for t in texts)
