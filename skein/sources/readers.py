@@ -155,8 +155,8 @@ def _binary(spark, paths) -> DataFrame:
 
 
 @register((".jsonl", ".ndjson", ".jsons"), "jsonl")
-def read_jsonl(spark: SparkSession, paths: list[str], **_) -> DataFrame:
-    """One record per line; blank lines are left out, broken ones mended or left out. xz is not one of Hadoop's codecs, so tasks decode it."""
+def read_jsonl(spark: SparkSession, paths: list[str], strict: bool = True, **_) -> DataFrame:
+    """One record per line; blank lines are left out, broken ones mended or left out (``strict=False``: lines as they are). xz is not one of Hadoop's codecs, so tasks decode it."""
     odd = [p for p in paths if p.lower().endswith(".xz")]
     plain = [p for p in paths if p not in odd]
     out = []
@@ -165,7 +165,8 @@ def read_jsonl(spark: SparkSession, paths: list[str], **_) -> DataFrame:
     if odd:
         out.append(_decoded(_binary(spark, odd), lambda p, b: [(x, None) for x in decompress(p, b)[1].decode("utf-8", "replace").splitlines()]))
     df = out[0] if len(out) == 1 else out[0].union(out[1])
-    return repaired(df.where(F.col("raw").isNull() | (F.trim("raw") != "")))
+    df = df.where(F.col("raw").isNull() | (F.trim("raw") != ""))
+    return repaired(df) if strict else df
 
 
 @register((".json",), "json")
