@@ -10,8 +10,8 @@ from skein.llm.common import checkpoint
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING, ROUNDS = 0.85, 12
-#: A host is blocked by the method when its distrust is over so many times its trust, and over the floor.
-RATIO, FLOOR = 1.0, 1e-12
+#: A host is blocked by the method when its distrust is over so many times its trust, and over the floor. Rounding makes no verdict.
+RATIO, FLOOR = 1.000001, 1e-12
 #: Parts in which a host's rows, or its links, are joined: one host may hold a third of all.
 SALTS = 16
 
@@ -93,3 +93,34 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     blocked = distrust.join(trust, "host").where((F.col("distrust") > F.lit(FLOOR)) & (F.col("distrust") > RATIO * F.col("trust"))).select("host", F.lit("block").alias("method"))
     out = judged.select("page_id", "host", "path", "rule", "v", salted(F.struct("page_id", "path"))).join(in_all_parts(blocked), ["host", "salt"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("v", "method", F.lit("allow")).alias("verdict"))
+
+
+def judge_sql(rules=RULES) -> str:
+    """The same as judge() in DuckDB's SQL, with each round of a rank as a table of its own."""
+    rest = "CASE WHEN {u} LIKE '%://%' THEN substr({u}, position('://' IN {u}) + 3) END"
+    host = f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    path = f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+    cases = {"rule": "", "v": ""}
+    for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1])):
+        fits = f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN "
+        cases = {"rule": cases["rule"] + fits + f"'{h}{p}' ", "v": cases["v"] + fits + f"'{v}' "}
+    url, to = host.format(u="url"), host.format(u="link")
+    parts = [
+        f"p AS (SELECT *, CASE {cases['rule']}END rule, CASE {cases['v']}END v FROM (SELECT page_id, html, {url} host, {path.format(u='url')} path FROM pages))",
+        f"links AS (SELECT host a, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?(https?://[^\\s\"''<>]+)', 1)) link FROM p)",
+        f"edges AS (SELECT a, {to} b, COUNT(*) w FROM links WHERE a <> '' GROUP BY 1, 2 HAVING a <> b AND b <> '')",
+        "hosts AS (SELECT host FROM p UNION SELECT a FROM edges UNION SELECT b FROM edges)",
+        "seeds AS (SELECT host, COUNT(*) FILTER (v = 'allow') good, COUNT(*) FILTER (v = 'block') bad FROM hosts LEFT JOIN p USING (host) GROUP BY 1)",
+        "whole AS (SELECT greatest(SUM(good + bad), 1) n FROM seeds)",
+    ]
+    for kind, seed, a, b in (("t", "good", "a", "b"), ("d", "bad", "b", "a")):
+        parts += [
+            f"{kind}s AS (SELECT {a} x, {b} y, w / SUM(w) OVER (PARTITION BY {a}) share FROM edges)",
+            f"{kind}0 AS (SELECT host, {seed} / n seed, {seed} / n r, host IN (SELECT x FROM {kind}s) leads, SUM({seed} / n) OVER () weight FROM seeds, whole)",
+        ]
+        for k in range(ROUNDS):
+            got = f"(SELECT y, SUM(share * r) got FROM {kind}s JOIN {kind}{k} ON x = host GROUP BY 1)"
+            lost = f"coalesce((SELECT SUM(r) FROM {kind}{k} WHERE NOT leads), 0)"
+            parts.append(f"{kind}{k + 1} AS MATERIALIZED (SELECT host, seed, {1 - DAMPING} * seed + {DAMPING} * (coalesce(got, 0) + CASE WHEN weight > 0 THEN seed / weight * {lost} ELSE 0 END) r, leads, weight FROM {kind}{k} LEFT JOIN {got} ON y = host)")
+    judged = f"CASE WHEN d.r > {FLOOR} AND d.r > {RATIO} * t.r THEN 'block' ELSE 'allow' END"
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(v, {judged}) verdict FROM p JOIN t{ROUNDS} t USING (host) JOIN d{ROUNDS} d USING (host)"
