@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.values import in_window, json_double, within
+from skein.session import shared_checkpoints
 
 
 def point_lookup(df: DataFrame, column: str, value) -> DataFrame:
@@ -128,7 +129,9 @@ def before(rows: DataFrame, order: str, value: str, name: str, descending: bool
     """
     spark = rows.sparkSession
     way = F.desc(order) if descending else F.asc(order)
-    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), way).withColumn("_part", F.spark_partition_id())
+    shared_checkpoints(spark)
+    # kept, as ranges are drawn anew whenever they are computed
+    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), way).withColumn("_part", F.spark_partition_id()).checkpoint()
     totals = parts.groupBy("_part").agg(F.sum(value).alias("_total"))
     offsets = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # a row for each partition
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(way).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -124,7 +124,7 @@ def test_ranks_and_u_over_partitions(spark):
     df = spark.createDataFrame([(f"k{i}", i % 13) for i in range(200)], "k string, n int").repartition(5)
     got = {r["k"]: r["rank"] for r in analytics.ranks(df, "k").collect()}
     assert got == {f"k{i}": 1 + sum(j % 13 > i % 13 for j in range(200)) for i in range(200)}
-    rows = [("a" if i % 3 else "b", float(i * 7 % 31)) for i in range(120)]
+    rows = [("a" if i % 3 else "b", float(i * 7919 % 3001) / 7) for i in range(1500)]  # more values than a range's sample
     u = analytics.mann_whitney_u(spark.createDataFrame(rows, "g string, v double"), "g", "v", "a").first()
     mine, others = [v for g, v in rows if g == "a"], [v for g, v in rows if g != "a"]
     assert u["u"] == sum((x > y) + 0.5 * (x == y) for x in mine for y in others) and (u["n_a"], u["n_b"]) == (len(mine), len(others))
