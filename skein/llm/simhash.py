@@ -113,27 +113,33 @@ def links(distinct: DataFrame) -> DataFrame:
     pairs = F.array(*[(F.lit(k).cast("long") * (1 << 2 * width)) + block[i] * (1 << width) + block[j] for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
     keyed = distinct.select(F.explode(pairs).alias("key"), "fp")
 
-    def run(batches):
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def done(keys, fps):
-            a, b = [], []
-            at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(keys))
-            for lo, hi in zip(at[ends - at > 1], ends[ends - at > 1]):
-                own = np.unique(fps[lo:hi])
-                for i, j in trie_links(own):
-                    a.append(own[i])
-                    b.append(own[j])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+    def linked(keys: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        keys, fps, a, b = np.concatenate(keys), np.concatenate(fps), [], []
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(keys))
+        for lo, hi in zip(at[ends - at > 1], ends[ends - at > 1]):
+            own = np.unique(fps[lo:hi])
+            for i, j in trie_links(own):
+                a.append(own[i])
+                b.append(own[j])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
+    def run(batches):
+        keys, fps = [], []  # of the last group, which may go on
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on
-            yield done(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-        yield done(keys, fps)
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(k):
+                continue
+            if keys and keys[0][0] == k[-1]:  # all of the batch is in that group
+                keys.append(k)
+                fps.append(f)
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            yield linked([*keys, k[:cut]], [*fps, f[:cut]])
+            keys, fps = [k[cut:]], [f[cut:]]
+        if keys:
+            yield linked(keys, fps)
+        release()
 
     n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return keyed.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
