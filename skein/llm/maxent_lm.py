@@ -1,8 +1,9 @@
-"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax."""
+"""Language-model scores: a hashed maximum-entropy model with a class-factored softmax, down to each token."""
 
 from __future__ import annotations
 
 from collections import Counter
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import bound_batches, checkpoint, release, utf8
 
 #: Tokens with an own symbol. Classes of tokens that keep company, and the members of a class: its commonest tokens one by
-#: one, the next in tiers that end at so many tokens, and last the rest of the class.
+#: one, the next in tiers that end at so many tokens, and last the rest of the class. Tiers and rests are told apart further by trees.
 FREQUENT, CLASSES, SINGLE, TIERS = 32_768, 16, 12, (128, 512)
 MEMBERS = SINGLE + len(TIERS) + 2
 REST = MEMBERS - 1
@@ -21,9 +22,15 @@ REST = MEMBERS - 1
 SIGNED, ANCHORS = 2048, 64
 #: Feature templates: the word before, the word two before (a skip), both as one. Buckets of each, for classes and for members.
 TEMPLATES, BUCKETS, MEMBER_BUCKETS = 3, 4096, 1024
+#: Ways of a node of the trees, leaves of a class's rest (its tokens are hashed to them), buckets of each template for nodes.
+WAYS, LEAVES, NODE_BUCKETS = 16, 4096, 16_384
+#: The bias of a child without tokens.
+NEVER = -30.0
 #: Training rounds. Each takes one position in ROUNDS, so all rounds take every one.
 ROUNDS = 1
 STEP, BATCH, FLUSH, BLOCK = 0.3, 16_384, 300_000, 100_000
+#: Decisions of a step over nodes: about those of BATCH positions.
+NODE_BATCH = 2 * BATCH
 #: Bits of a class and member in a token's code; other tokens whose code a worker remembers.
 OF_BITS, REMEMBERED = 20, 200_000
 
@@ -159,6 +166,51 @@ class Classes:
         #: class * MEMBERS + member of each frequent token, and its count
         self.of, self.count = np.array(own, np.int64), np.array([c for _, c in top], np.int64)
         self.size = np.bincount(self.of, self.count, CLASSES * MEMBERS)
+        self.plant()
+        #: tokens of each leaf of the classes' rests
+        self.rest = np.zeros(CLASSES * LEAVES)
+
+    def plant(self) -> None:
+        """A tree for each tier: its tokens are the leaves, so a softmax at each node on the way tells a token from all others."""
+        paths: list[list[tuple[int, int]]] = [[] for _ in self.of]
+        nodes: list[np.ndarray] = []
+        order = np.argsort(self.of, kind="stable")
+        for tier in np.split(order, np.flatnonzero(np.diff(self.of[order])) + 1):
+            if len(tier) > 1:
+                for i, path in zip(tier.tolist(), huffman(self.count[tier].tolist(), nodes)):
+                    paths[i] = path
+        steps = [x for path in paths for x in path]
+        self.first_step = np.cumsum([0, *map(len, paths)])
+        self.node, self.child = (np.array([x[k] for x in steps], np.int64) for k in (0, 1))
+        self.child_size = np.array(nodes).reshape(-1, WAYS)
+
+    def decisions(self, symbols: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, node, child) of every step below the members. Rests follow the tiers' nodes: three levels in each class."""
+        own = np.flatnonzero(symbols < FREQUENT)
+        start = self.first_step[symbols[own]]
+        many = self.first_step[symbols[own] + 1] - start
+        own, start, many = own[many > 0], start[many > 0], many[many > 0]
+        at = np.repeat(own, many)
+        k = np.arange(len(at)) + np.repeat(start - np.cumsum(many) + many, many)
+        rest = np.flatnonzero(symbols >= FREQUENT)
+        leaf, base = self.leaf(symbols[rest]), len(self.child_size) + of[rest] // MEMBERS * (1 + WAYS + WAYS**2)
+        a, b, c = leaf // WAYS**2, leaf // WAYS % WAYS, leaf % WAYS
+        return (
+            np.concatenate([at, rest, rest, rest]),
+            np.concatenate([self.node[k], base, base + 1 + a, base + 1 + WAYS + leaf // WAYS]),
+            np.concatenate([self.child[k], a, b, c]),
+        )
+
+    @staticmethod
+    def leaf(symbols):
+        """The leaf of its class's rest, for symbols of tokens that aren't frequent."""
+        return (symbols - FREQUENT) % LEAVES
+
+    def sizes(self) -> np.ndarray:
+        """Training tokens below each child of each node."""
+        low = self.rest.reshape(CLASSES, WAYS, WAYS, WAYS)
+        rests = [np.concatenate([x.sum((1, 2))[None], x.sum(2), x.reshape(-1, WAYS)]) for x in low]
+        return np.concatenate([self.child_size, *rests])
 
     def group(self, word: bytes) -> int:
         s = self.suffix
@@ -179,6 +231,31 @@ class Classes:
         return symbols, of, np.flatnonzero(symbols >= FREQUENT)
 
 
+def huffman(counts: list[int], nodes: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """(node, child) from the root to each of these leaves, the commonest nearest; the nodes' children's counts are added to nodes."""
+    heap: list[tuple] = [(c, i) for i, c in enumerate(counts)]
+    heap += [(0, -1 - i) for i in range(-(len(counts) - 1) % (WAYS - 1))]  # so that every node is full
+    heapify(heap)
+    parent: dict[int, tuple[int, int]] = {}
+    name, at = len(counts), {}
+    while len(heap) > 1:
+        children = [heappop(heap) for _ in range(WAYS)]
+        for k, (_, i) in enumerate(children):
+            parent[i] = (name, k)
+        at[name] = len(nodes)
+        nodes.append(np.array([c for c, _ in children], float))
+        heappush(heap, (sum(c for c, _ in children), name))
+        name += 1
+    out = []
+    for i in range(len(counts)):
+        path = []
+        while i in parent:
+            i, k = parent[i]
+            path.append((at[i], k))
+        out.append(path[::-1])
+    return out
+
+
 class Codes(dict):
     """symbol << OF_BITS | class * MEMBERS + member of tokens; those that aren't frequent are added as they come, REMEMBERED of them."""
 
@@ -211,7 +288,7 @@ def features(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of two softmaxes: of the class, and of the member in its class. Rows are feature buckets, the last ones biases."""
+    """Weights of softmaxes: of the class, of the member in its class, and of a node's child. Rows are feature buckets, the last ones biases."""
 
     def __init__(self, classes: Classes):
         self.first = np.zeros((TEMPLATES * BUCKETS + 1, CLASSES), np.float32)
@@ -219,12 +296,20 @@ class Model:
         size = classes.size.reshape(CLASSES, MEMBERS)
         self.first[-1] = np.log((size.sum(1) + 1) / (size.sum() + CLASSES))
         self.second[-CLASSES:] = np.log((size + 1) / (size.sum(1, keepdims=True) + MEMBERS))
+        size = classes.sizes()
+        self.third = np.zeros((TEMPLATES * NODE_BUCKETS + len(size), WAYS), np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bias = np.where(size > 0, np.log(size / size.sum(1, keepdims=True)), NEVER)
+        self.third[TEMPLATES * NODE_BUCKETS :] = np.where(size.sum(1, keepdims=True) > 0, bias, 0)
 
     def copy(self) -> Model:
         out = object.__new__(Model)
-        out.first, out.second = self.first.copy(), self.second.copy()
+        out.first, out.second, out.third = self.first.copy(), self.second.copy(), self.third.copy()
         return out
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.first, self.second, self.third
+
     @staticmethod
     def rows(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of both tables for these feature hashes and classes."""
@@ -233,6 +318,13 @@ class Model:
         second = np.vstack([f % MEMBER_BUCKETS + shift * MEMBER_BUCKETS, np.full((1, len(g)), TEMPLATES * MEMBER_BUCKETS)]) * CLASSES + g
         return first, second
 
+    @staticmethod
+    def node_rows(f: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The rows of the third table for these feature hashes and nodes."""
+        mixed = (f.astype(np.uint64) + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+        shift = np.arange(TEMPLATES)[:, None] * NODE_BUCKETS
+        return np.vstack([(mixed % np.uint64(NODE_BUCKETS)).astype(np.int64) + shift, TEMPLATES * NODE_BUCKETS + node])
+
     def log_probability(self, f: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(member | class) at these positions."""
         g, m = np.divmod(of, MEMBERS)
@@ -240,31 +332,54 @@ class Model:
         for a in range(0, len(of), 16384):
             b, part = slice(a, a + 16384), 0.0
             for weights, rows, target in zip((self.first, self.second), self.rows(f[:, b], g[b]), (g[b], m[b])):
-                z = logits(weights, rows)
-                part = part + z[np.arange(len(target)), target] - np.log(np.exp(z).sum(1))
+                part = part + chosen(weights, rows, target)
             out[b] = part
         return out
 
+    def log_below(self, f: np.ndarray, decisions: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Natural log of P(token's leaf | member) at each position of f: the sum over its nodes."""
+        at, node, child = decisions
+        part = np.empty(len(at))
+        for a in range(0, len(at), 16384):
+            b = slice(a, a + 16384)
+            part[b] = chosen(self.third, self.node_rows(f[:, at[b]], node[b]), child[b])
+        return np.bincount(at, part, f.shape[1])
+
 
 def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights.take(rows[0], axis=0)
     for row in rows[1:]:
         z += weights.take(row, axis=0)
-    z -= z.max(1, keepdims=True)
+    most = z
+    while (n := most.shape[1]) > 1:  # by halves: a maximum along a short axis is slow
+        most = np.maximum(most[:, : (n + 1) // 2], most[:, n // 2 :])
+    z -= most
     return z
 
 
+def chosen(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of these rows at the targets."""
+    z = logits(weights, rows)
+    out = z[np.arange(len(target)), target]
+    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
 def step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step of a softmax over these positions, in place: AdaGrad with one sum of squares for each row."""
     p = np.exp(logits(weights, rows))
-    p /= p.sum(1, keepdims=True)
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     p[np.arange(len(target)), target] -= 1
     columns = np.ascontiguousarray(p.T, np.float64)
     for row in rows:
         low = row.min()
         place = row - low
         keys = np.flatnonzero(np.bincount(place))
-        g = np.stack([np.bincount(place, x)[keys] for x in columns], 1).astype(np.float32)
+        if keys[-1] < 64:
+            of_key = np.zeros((len(p), keys[-1] + 1), np.float32)
+            of_key[np.arange(len(p)), place] = 1
+            g = (of_key.T @ p)[keys]
+        else:
+            g = np.stack([np.bincount(place, x)[keys] for x in columns], 1).astype(np.float32)
         keys += low
         squares[keys] += np.einsum("ij,ij->i", g, g) / g.shape[1]
         weights[keys] -= (STEP / np.sqrt(squares[keys]))[:, None] * g
@@ -278,6 +393,14 @@ def learn(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndarray, o
         step(model.second, squares[1], second, m)
 
 
+def learn_below(model: Model, squares: np.ndarray, f: np.ndarray, decisions: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    at, node, child = decisions
+    order = np.argsort(at, kind="stable")
+    for a in range(0, len(at), NODE_BATCH):
+        b = order[a : a + NODE_BATCH]
+        step(model.third, squares, model.node_rows(f[:, at[b]], node[b]), child[b])
+
+
 def positions(k: int, n: int) -> np.ndarray:
     """The positions of n that round k trains on."""
     return np.arange(k, n, ROUNDS)
@@ -289,18 +412,21 @@ def train(docs: DataFrame, classes: Classes) -> Model:
     A row's moves are summed by row, so what meets in one task never grows with a feature's use.
     """
     model = Model(classes)
-    names, split = [f"w{k}" for k in range(max(CLASSES, MEMBERS))], len(model.first)
+    names = [f"w{k}" for k in range(max(CLASSES, MEMBERS, WAYS))]
+    shifts = np.cumsum([0, *map(len, model.tables())])
     for k in range(ROUNDS):
 
         def run(batches, k=k, old=model):
-            new, squares = old.copy(), (np.ones(len(old.first), np.float32), np.ones(len(old.second), np.float32))
+            new, squares = old.copy(), tuple(np.ones(len(x), np.float32) for x in old.tables())
             for batch in batches:
                 for words, starts in blocks(batch.column(0)):
                     symbols, of, _ = classes.coded(words)
                     own = positions(k, len(symbols))
-                    learn(new, squares, features(symbols, starts)[:, own], of[own])
+                    f = features(symbols, starts)[:, own]
+                    learn(new, squares, f, of[own])
+                    learn_below(new, squares[2], f, classes.decisions(symbols[own], of[own]))
                 del batch
-            for now, was, shift in ((new.first, old.first, 0), (new.second, old.second, split)):
+            for now, was, shift in zip(new.tables(), old.tables(), shifts.tolist()):
                 moved = np.flatnonzero((now != was).any(1))
                 delta = np.zeros((len(moved), len(names)), np.float32)
                 delta[:, : now.shape[1]] = now[moved] - was[moved]
@@ -312,8 +438,9 @@ def train(docs: DataFrame, classes: Classes) -> Model:
         model = model.copy()
         if moves.num_rows:
             at, delta = moves["f"].to_numpy(), np.stack([moves[x].to_numpy() for x in names], 1)
-            model.first[at[at < split]] += delta[at < split, :CLASSES]
-            model.second[at[at >= split] - split] += delta[at >= split, :MEMBERS]
+            for weights, lo, hi in zip(model.tables(), shifts[:-1], shifts[1:]):
+                own = (at >= lo) & (at < hi)
+                weights[at[own] - lo] += delta[own, : weights.shape[1]]
     return model
 
 
@@ -322,9 +449,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Tokens: A-Z lower-cased words between ASCII white space, then one end. The model gives a token's class
     by a softmax over hashed features of the two tokens before it (each, and both), its member in the class by
-    a second softmax over such features, times the token's share of the member where that is several tokens.
-    The rest of a class keeps a Good-Turing share for unknown tokens, who are one event in each class, so all
-    events sum to 1. Counts, company, classes and weights come from all documents not held out. Null text is
+    a second softmax over such features. Where a member is several tokens, a tree leads to each of them by
+    further softmaxes of the same kind. In the rest of a class it leads to a leaf that tokens are hashed to;
+    those that meet in a leaf share it by their counts. The rest keeps a Good-Turing share for unknown tokens,
+    who are one event in each class, so all events sum to 1. Counts, company, classes and weights come from all documents not held out. Null text is
     empty: just the end. Without training documents c and N are 0 and the classes are equal. Repeated rows give
     a row each, as their tokens are summed by a row key, not by doc_id. Other columns are left out.
     """
@@ -340,19 +468,23 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     frequent = len(top)
     known = spark.createDataFrame([(w.decode(),) for w, _ in top] or [("\0",)], "token string")
 
-    def of_class(batches):
+    def of_leaf(batches):
         for batch in batches:
-            g = [classes.group((w or "").encode()) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.int32())], names=["token", "c", "g"])
+            words = [(w or "").encode() for w in batch.column(0).to_pylist()]
+            leaf = [classes.group(w) * LEAVES + classes.leaf(FREQUENT + crc32(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["token", "c", "leaf"])
 
-    rest = checkpoint(vocabulary.join(F.broadcast(known), "token", "left_anti").mapInArrow(of_class, "token string, c long, g int"))  # known: FREQUENT rows at most
+    rest = checkpoint(vocabulary.join(F.broadcast(known), "token", "left_anti").mapInArrow(of_leaf, "token string, c long, leaf int"))  # known: FREQUENT rows at most
+    leaves = rest.groupBy("leaf").agg(F.sum("c").alias("size"), F.count_if(F.col("c") == 1).alias("h"))  # CLASSES * LEAVES rows at most
     size, once = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in rest.groupBy("g").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("h")).collect():  # CLASSES rows
-        size[r["g"]], once[r["g"]] = r["c"], r["h"]
+    found = leaves.toArrow()
+    if found.num_rows:
+        leaf, c, h = (found[x].to_numpy() for x in ("leaf", "size", "h"))
+        classes.rest[leaf] = c
+        size, once = (np.bincount(leaf // LEAVES, x, CLASSES) for x in (c, h))
     classes.size.reshape(CLASSES, MEMBERS)[:, REST] = size
     unknown = np.where(size > 0, (once + 0.5) / (size + 1), 1.0)
     model = train(learned, classes)
-    in_member = np.log10(classes.count / classes.size[classes.of]) if frequent else np.zeros(0)
     base = np.log10((classes.count + 0.1) / (n + 0.1 * (v + 1)))
 
     def run(batches):
@@ -362,51 +494,57 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 symbols, of, rare = classes.coded(words)
                 common = np.ones(len(words), bool)
                 common[rare] = False
-                part = model.log_probability(features(symbols, starts), of) / np.log(10)
+                f = features(symbols, starts)
+                part = model.log_probability(f, of) / np.log(10)
+                below = model.log_below(f, classes.decisions(symbols, of)) / np.log(10)
                 plain = np.zeros(len(words))
-                plain[common], part[common] = base[symbols[common]], part[common] + in_member[symbols[common]]
+                plain[common], part[common] = base[symbols[common]], part[common] + below[common]
                 sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (part, plain, common)]
                 sizes = np.diff(np.append(starts, len(words)))
-                token, many, group, ends = [], [], [], [0]
+                token, many, group, under, ends = [], [], [], [], [0]
                 cuts = np.searchsorted(rare, np.append(starts, len(words))).tolist()
-                places, classes_of = rare.tolist(), (of[rare] // MEMBERS).tolist()
+                places, classes_of, bits = rare.tolist(), (of[rare] // MEMBERS).tolist(), below[rare].tolist()
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    own: dict[bytes, list[int]] = {}
-                    for i, g in zip(places[lo:hi], classes_of[lo:hi]):
+                    own: dict[bytes, list] = {}
+                    for i, g, b in zip(places[lo:hi], classes_of[lo:hi], bits[lo:hi]):
                         x = own.get(words[i])
                         if x is None:
-                            own[words[i]] = [1, g]
+                            own[words[i]] = [1, g, b]
                         else:
                             x[0] += 1
+                            x[2] += b
                     token += own
                     many += [x[0] for x in own.values()]
                     group += [x[1] for x in own.values()]
+                    under += [x[2] for x in own.values()]
                     ends.append(len(token))
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
                 rows = slice(at, at + len(starts))
                 at += len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], batch.column(2)[rows], pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token, pa.binary()).cast(pa.string())), lists(many, pa.int32()), lists(group, pa.int32())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "token", "k", "g"],
+                    [batch.column(0)[rows], batch.column(2)[rows], pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token, pa.binary()).cast(pa.string())), lists(many, pa.int32()), lists(group, pa.int32()), lists(under, pa.float32())],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "token", "k", "g", "under"],
                 )
             del batch
         release()
 
-    parts = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, token array<string>, k array<int>, g array<int>")
+    parts = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, token array<string>, k array<int>, g array<int>, under array<float>")
     parts = parts.withColumn("row", F.monotonically_increasing_id())
     # the rare tokens go to their counts, with each document's own sums as one more row beside them
-    own = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("k"), F.lit(0).alias("g")))
-    flat = parts.select("*", F.posexplode(F.concat(own, F.arrays_zip("token", "k", "g"))).alias("i", "t")).select(
-        "row", F.col("t.token").alias("token"), F.col("t.k").alias("k"), F.col("t.g").alias("g"), *[F.when(F.col("i") == 0, F.col(x)).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")]
+    own = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("k"), F.lit(0).alias("g"), F.lit(None).cast("float").alias("under")))
+    flat = parts.select("*", F.posexplode(F.concat(own, F.arrays_zip("token", "k", "g", "under"))).alias("i", "t")).select(
+        "row", F.col("t.token").alias("token"), F.col("t.k").alias("k"), F.col("t.g").alias("g"), F.col("t.under").alias("under"), *[F.when(F.col("i") == 0, F.col(x)).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")]
     )
     flat = flat.withColumn("salted", F.coalesce("token", F.concat(F.lit("\n"), F.col("row").cast("string"))))  # rows without token spread
     unknown_bits = F.array(*[F.lit(float(np.log10(unknown[g]))) for g in range(CLASSES)])
-    class_bits = F.array(*[F.lit(float(np.log10(max(1 - unknown[g], 1e-12) / max(size[g], 1)))) for g in range(CLASSES)])
-    joined = flat.join(rest.select(F.col("token").alias("salted"), "c"), "salted", "left")
+    known_bits = F.array(*[F.lit(float(np.log10(max(1 - unknown[g], 1e-12)))) for g in range(CLASSES)])
+    in_leaf = F.log10(F.col("c") / F.col("size")) + F.get(known_bits, F.floor(F.col("leaf") / LEAVES).cast("int"))
+    told = rest.join(F.broadcast(leaves), "leaf").select(F.col("token").alias("salted"), "c", in_leaf.alias("in_leaf"))
+    joined = flat.join(told, "salted", "left")
     scored = joined.select(
         "row", "doc_id", "held_out", "n_tokens", "k", "n_known", "base_score", "score",
         F.when(F.col("token").isNotNull(), F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(n + 0.1 * (v + 1))))).alias("base_more"),
-        F.when(F.col("token").isNotNull(), F.col("k") * F.when(F.col("c").isNull(), F.get(unknown_bits, F.col("g"))).otherwise(F.log10("c") + F.get(class_bits, F.col("g")))).alias("more"),
+        F.when(F.col("token").isNotNull(), F.col("k") * F.when(F.col("c").isNull(), F.get(unknown_bits, F.col("g"))).otherwise(F.col("in_leaf")) + F.when(F.col("c").isNull(), 0.0).otherwise(F.col("under"))).alias("more"),
         F.when(F.col("c").isNotNull(), F.col("k")).alias("seen"),
     )
     s = lambda x: F.coalesce(F.sum(x), F.lit(0.0))

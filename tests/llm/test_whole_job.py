@@ -96,3 +96,37 @@ def test_maxent_lm_trains_on_every_position(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "learn", lambda model, squares, f, of: seen.add(len(of)))
     maxent_lm.train(docs, maxent_lm.Classes(top, np.zeros((len(top), maxent_lm.ANCHORS))))
     assert seen.value == sum(len((t or "").split()) + 1 for t in texts)
+
+
+def test_maxent_lm_has_a_leaf_for_every_token():
+    rng = np.random.default_rng(3)
+    top = [(b"", 900), *[(f"w{i}".encode(), 800 - i // 3) for i in range(700)]]
+    classes = maxent_lm.Classes(top, np.zeros((len(top), maxent_lm.ANCHORS)))
+    classes.rest[: maxent_lm.LEAVES] = rng.integers(0, 4, maxent_lm.LEAVES)
+    model = maxent_lm.Model(classes)
+    f = np.repeat(rng.integers(0, 1 << 24, (maxent_lm.TEMPLATES, 1)), len(top), 1)  # one context for all tokens
+    symbols = np.arange(len(top))
+    below = np.exp(model.log_below(f, classes.decisions(symbols, classes.of)))
+    assert np.allclose(below, classes.count / classes.size[classes.of], rtol=1e-4)  # untrained: the shares of counts
+    model.third += rng.standard_normal(model.third.shape).astype(np.float32)
+    below = np.exp(model.log_below(f, classes.decisions(symbols, classes.of)))
+    assert np.allclose(np.bincount(classes.of, below)[np.unique(classes.of)], 1, atol=1e-4)
+    at, node, child = classes.decisions(symbols, classes.of)
+    paths = [(classes.of[i], *zip(node[at == i].tolist(), child[at == i].tolist())) for i in symbols]
+    assert len(set(paths)) == len(top)
+    f = np.repeat(f[:, :1], maxent_lm.LEAVES, 1)
+    rest = maxent_lm.FREQUENT + np.arange(maxent_lm.LEAVES)
+    leaves = np.exp(model.log_below(f, classes.decisions(rest, np.full(len(rest), maxent_lm.REST))))
+    assert abs(leaves.sum() - 1) < 1e-4 and leaves[classes.rest[: maxent_lm.LEAVES] == 0].max() < 1e-6
+
+
+def test_maxent_lm_predicts_tokens_beyond_a_class_commonest(spark, monkeypatch):
+    """Which of two tokens of equal counts and of one tier, or of the rest, comes next depends on what is before."""
+    monkeypatch.setattr(maxent_lm.commonest, "__defaults__", (33,))  # up, down, seen and lost are in the rest
+    filler = " ".join(f"f{i}" for i in range(25))
+    texts = [filler] * 1500 + ["left one two", "right six two"] * 700 + ["up seen two", "down lost two"] * 300 + [f"x{i} x{i}" for i in range(40)] * 13
+    held = ["left one two", "left six two", "up seen two", "up lost two"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(-1 - i, t, True) for i, t in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(1)
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(df, F.col("h")).where("held_out").collect()}
+    assert got[-1] > got[-2] + 1 and got[-3] > got[-4] + 1
