@@ -36,6 +36,10 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 #: Parts in which the joins with a host's copies are salted.
 SALTS = 8
+#: A line inside article or main is the host's if differencing takes it from over half of so many different pages at least.
+LEAST_PAGES = 4
+#: Pages with lines to take away, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 
 
 @lru_cache(65536)
@@ -214,13 +218,16 @@ def common_start(a: str, b: str) -> int:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    A page that holds article or main keeps their lines, without menus and the like in them. Every other page
-    is compared with the page of the nearest URL path of its host, among pages that hold neither: their lines
-    are aligned by a longest common subsequence, and the shared ones go. Pages of equal lines are copies, that
-    tell nothing about each other: they are one in the order of paths, at the first of their paths, and go alike.
-    The nearest is the neighbour in that order whose path agrees with the page's for longer, the one before if
-    equal. A host of any size spreads over tasks: neighbours are found within ranges of paths, then among the
-    ranges' ends, so the result doesn't depend on the partitions.
+    Every page is compared with the page of the nearest URL path of its host, among pages of its layout: those
+    that hold article or main, and those that hold neither. Their lines outside menus and the like are aligned
+    by a longest common subsequence, and the shared ones go. Of pages that hold article or main only the lines
+    in these count, and as two articles may share a line of their own (a licence, a quotation), a check follows:
+    a shared line goes if it is shared on over half of the host's different pages of that layout, LEAST_PAGES of
+    them at least; else it stays. Pages of equal lines are copies, that tell nothing about each other: they are
+    one in the order of paths, at the first of their paths, and go alike. The nearest is the neighbour in that
+    order whose path agrees with the page's for longer, the one before if equal. A host of any size spreads over
+    tasks: neighbours are found within ranges of paths, then among the ranges' ends, so the result doesn't
+    depend on the partitions.
 
     Null or empty html gives empty text. Null urls count as host and path "". Repeated rows each give a row.
     Character references are decoded, white space in a block is one space, blocks are joined by a line break
@@ -232,48 +239,60 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            texts, loose = [], []
+            inside, kept = [], []
             for page in batch.column(2):
                 found = lines(page.as_py() or "")
                 keep = [x for x, s in found if s]
-                texts.append("\n".join(keep) if keep or not found else None)
-                loose.append([] if keep else [x for x, _ in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(loose, pa.list_(pa.string()))], names=["page_id", "url", "text", "lines"])
+                inside.append(bool(keep))
+                kept.append(keep or [x for x, _ in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(inside, pa.bool_()), pa.array(kept, pa.list_(pa.string()))], names=["page_id", "url", "inside", "lines"])
             del batch
         release()
 
     def differ(batches):
         for batch in batches:
-            host, a, path, mine, p_path, p, n_path, q = (batch.column(i).to_pylist() for i in range(8))
+            path, mine, p_path, p, n_path, q = (batch.column(i).to_pylist() for i in range(4, 10))
             gone = []
             for own, x, before, prev, after, next_ in zip(path, mine, p_path, p, n_path, q):
                 other = next_ if prev is None or next_ is not None and common_start(own, after) > common_start(own, before) else prev
                 gone.append(sorted(shared(x, other)) if other else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(8), pa.array(gone, pa.list_(pa.int32()))], names=["host", "a", "b", "gone"])
+            lost = [[x[i] for i in own] for x, own in zip(mine, gone)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(gone, pa.list_(pa.int32())), pa.array(lost, pa.list_(pa.int64()))], names=["host", "inside", "a", "b", "gone", "lost"])
 
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, "page_id long, url string, text string, lines array<string>")
-    sure = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text")
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, "page_id long, url string, inside boolean, lines array<string>")
     host, path = host_path(F.col("url"))
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    left = parsed.where(F.col("text").isNull()).select("page_id", "url", "lines", host.alias("host"), path.alias("path"), hashes.alias("hashes"))
-    left = left.withColumns({"a": F.xxhash64("hashes"), "b": F.xxhash64(F.lit(1), "hashes")})
-    # one row for each different page of a host, in the order of paths
-    each = left.groupBy("host", "a", "b").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
-    order = ["path", "a", "b"]
-    each = checkpoint(each.repartitionByRange(n, "host", *order).withColumn("part", F.spark_partition_id()))  # ranges are drawn anew whenever computed
-    inside, ends = Window.partitionBy("host", "part").orderBy(*order), Window.partitionBy("host").orderBy("part", "path", "a", "b")
+    parsed = parsed.select("page_id", "url", "inside", "lines", host.alias("host"), path.alias("path"), hashes.alias("hashes"))
+    parsed = parsed.withColumns({"a": F.xxhash64("hashes"), "b": F.xxhash64(F.lit(1), "hashes")})
+    # one row for each different page of a host and layout, in the order of paths
+    page, order = ["host", "inside", "a", "b"], ["path", "a", "b"]
+    each = parsed.where(F.size("lines") > 0).groupBy(*page).agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
+    each = checkpoint(each.repartitionByRange(n, "host", "inside", *order).withColumn("part", F.spark_partition_id()))  # ranges are drawn anew whenever computed
+    within, ends = Window.partitionBy("host", "inside", "part").orderBy(*order), Window.partitionBy("host", "inside").orderBy("part", *order)
     pair = F.struct("path", "hashes")
-    placed = each.withColumns({"prev": F.lag(pair).over(inside), "next": F.lead(pair).over(inside)})
+    placed = each.withColumns({"prev": F.lag(pair).over(within), "next": F.lead(pair).over(within)})
     # a part's first row has the last one of the part before, and the other way round
     whole = placed.where(F.col("prev").isNotNull() & F.col("next").isNotNull())
     edge = placed.where(F.col("prev").isNull() | F.col("next").isNull())
     edge = edge.withColumns({"p2": F.lag(pair).over(ends), "n2": F.lead(pair).over(ends)})
     edge = edge.withColumns({"prev": F.coalesce("prev", "p2"), "next": F.coalesce("next", "n2")}).drop("p2", "n2")
-    paired = whole.unionByName(edge).select("host", "a", "path", "hashes", "prev.path", "prev.hashes", "next.path", "next.hashes", "b").toDF("host", "a", "path", "mine", "pp", "ph", "np", "nh", "b")
-    gone = paired.mapInArrow(differ, "host string, a long, b long, gone array<int>")
-    # copies may be many: both sides are salted
-    gone = gone.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    left = left.select("page_id", "url", "lines", "host", "a", "b", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    paired = whole.unionByName(edge).select(*page, "path", "hashes", "prev.path", "prev.hashes", "next.path", "next.hashes").toDF(*page, "path", "mine", "pp", "ph", "np", "nh")
+    gone = checkpoint(paired.mapInArrow(differ, "host string, inside boolean, a long, b long, gone array<int>, lost array<long>").where(F.size("gone") > 0))
+    # inside article and main: the lines that go from over half of the host's pages
+    times = gone.where("inside").select("host", F.explode(F.array_distinct("lost")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("c"))
+    many = each.where("inside").groupBy("host").agg(F.count("*").alias("n"))
+    hosts = times.join(many, "host").where((F.col("n") >= LEAST_PAGES) & (2 * F.col("c") > F.col("n"))).groupBy("host").agg(F.collect_list("h").alias("own"))  # fewer than twice a page's lines
+    # pages of a host and copies of a page may be many: both sides of the joins are salted
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    salted = gone.where("inside").withColumn("salt", F.pmod("a", F.lit(SALTS)).cast("int")).join(hosts.select("*", salts), ["host", "salt"])
+    of_host = F.filter(F.arrays_zip("gone", "lost"), lambda x: F.array_contains(F.col("own"), x["lost"]))
+    checked = salted.select(*page, F.transform(of_host, lambda x: x["gone"]).alias("gone")).where(F.size("gone") > 0)
+    gone = checkpoint(gone.where("not inside").select(*page, "gone").unionByName(checked))
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = parsed.join(F.broadcast(gone), page, "left")
+    else:
+        own = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = own.join(gone.select("*", salts), [*page, "salt"], "left")
     kept = F.filter(F.col("lines"), lambda x, i: ~F.array_contains(F.col("gone"), i))
-    other = left.join(gone, ["host", "a", "b", "salt"]).select("page_id", "url", F.array_join(kept, "\n").alias("text"))
-    return sure.unionByName(other).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n")
+    return joined.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

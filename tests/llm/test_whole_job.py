@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import ann, decontaminate, maxent_lm
+from skein.llm import ann, decontaminate, html_text, maxent_lm
 
 
 def nearest_by_brute_force(x, q, k):
@@ -130,3 +130,16 @@ def test_maxent_lm_predicts_tokens_beyond_a_class_commonest(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(1)
     got = {r["doc_id"]: r["score"] for r in maxent_lm.score(df, F.col("h")).where("held_out").collect()}
     assert got[-1] > got[-2] + 1 and got[-3] > got[-4] + 1
+
+
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_html_differences_inside_articles(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", broadcast)
+    licence = "<p>Licensed to all."
+    page = lambda i, more="": f"<div>top</div><article><p>Read our paper edition.<p>Own line {i}.{more}<p>Tell your friends.</article>"
+    rows = [(i, f"http://a.example/{i}", page(i, licence if i in (3, 4) else "")) for i in range(8)]
+    rows += [(8, "http://a.example/7b", page(7)), (9, "http://a.example/x", "<p>Tell your friends.<p>No article."), (10, "http://a.example/y", "<p>Tell your friends.<p>Nor here.")]
+    rows += [(20 + i, f"http://b.example/{i}", page(i)) for i in range(2)]  # too few pages to tell
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: f"Own line {i}." + ("\nLicensed to all." if i in (3, 4) else "") for i in range(8)} | {8: "Own line 7.", 9: "No article.", 10: "Nor here."}
+    assert got == want | {20 + i: f"Read our paper edition.\nOwn line {i}.\nTell your friends." for i in range(2)}
