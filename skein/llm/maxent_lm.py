@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +20,14 @@ from skein.llm.common import bound_batches, checkpoint, release, utf8
 #: one, the next in tiers that end at so many tokens, and last the rest of the class. Tiers and rests are told apart further by trees.
 FREQUENT, CLASSES, SINGLE, TIERS = 32_768, 16, 12, (128, 512)
 MEMBERS = SINGLE + len(TIERS) + 2
+#: Tokens whose counts every worker has; those of the others are joined.
+NEAR = 131_072
 REST = MEMBERS - 1
 #: Tokens whose company is counted over all documents, and the tokens that count as company: the commonest ones.
 SIGNED, ANCHORS = 2048, 64
-#: Feature templates: the word before, the word two before (a skip), both as one. Buckets of each, for classes and for members.
+#: Feature templates: the word before, the word two before (a skip), both as one. Buckets of each, for classes and for members (powers of two).
 TEMPLATES, BUCKETS, MEMBER_BUCKETS = 3, 4096, 1024
-#: Ways of a node of the trees, leaves of a class's rest (its tokens are hashed to them), buckets of each template for nodes.
+#: Ways of a node of the trees, leaves of a class's rest (its tokens are hashed to them), buckets of each template for nodes (a power of two).
 WAYS, LEAVES, NODE_BUCKETS = 16, 4096, 16_384
 #: The bias of a child without tokens.
 NEVER = -30.0
@@ -31,8 +36,12 @@ ROUNDS = 1
 STEP, BATCH, FLUSH, BLOCK = 0.3, 16_384, 300_000, 100_000
 #: Decisions of a step over nodes: about those of BATCH positions.
 NODE_BATCH = 2 * BATCH
-#: Bits of a class and member in a token's code; other tokens whose code a worker remembers.
-OF_BITS, REMEMBERED = 20, 200_000
+#: Positions whose softmaxes are taken at once: so many stay in a processor's own memory.
+PIECE = 4096
+#: Logits up to this, whose powers of e add up without overflow; rows of a bucket that are added bucket beside bucket.
+FLAT, RANKS = 80.0, 16
+#: A token's last three bytes.
+LAST = itemgetter(slice(-3, None))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -219,16 +228,21 @@ class Classes:
             g = s.get(word[-2:])
         return s.get(word[-1:], 0) if g is None else g
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "codes"}
-
     def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, class * MEMBERS + member, places of the tokens that aren't frequent); those are hashed by themselves."""
-        if "codes" not in self.__dict__:
-            self.codes = Codes(self)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        symbols, of = codes >> OF_BITS, codes & ((1 << OF_BITS) - 1)
-        return symbols, of, np.flatnonzero(symbols >= FREQUENT)
+        symbols = np.fromiter(map(self.symbol.get, words, repeat(-1)), np.int64, len(words))
+        rare = np.flatnonzero(symbols < 0)
+        of = np.full(len(words), REST, np.int64)
+        common = np.flatnonzero(symbols >= 0)
+        of[common] = self.of[symbols[common]]
+        if len(rare):
+            own = [words[i] for i in rare.tolist()]
+            symbols[rare] = np.fromiter(map(crc32, own), np.int64, len(own)) + FREQUENT
+            groups = np.fromiter(map(self.suffix.get, map(LAST, own), repeat(-1)), np.int64, len(own))
+            for i in np.flatnonzero(groups < 0).tolist():  # an ending of three bytes that no frequent token has
+                groups[i] = self.group(own[i])
+            of[rare] += groups * MEMBERS
+        return symbols, of, rare
 
 
 def huffman(counts: list[int], nodes: list[np.ndarray]) -> list[list[tuple[int, int]]]:
@@ -256,24 +270,6 @@ def huffman(counts: list[int], nodes: list[np.ndarray]) -> list[list[tuple[int,
     return out
 
 
-class Codes(dict):
-    """symbol << OF_BITS | class * MEMBERS + member of tokens; those that aren't frequent are added as they come, REMEMBERED of them."""
-
-    def __init__(self, classes: Classes):
-        self.classes = classes
-        self.refill()
-
-    def refill(self):
-        self.clear()
-        self.update((w, i << OF_BITS | o) for (w, i), o in zip(self.classes.symbol.items(), self.classes.of.tolist()))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FREQUENT + REMEMBERED:
-            self.refill()
-        code = self[word] = FREQUENT + crc32(word) << OF_BITS | self.classes.group(word) * MEMBERS + REST
-        return code
-
-
 def features(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A hash for each template at each position; before a document stands a symbol of its own."""
     before = []
@@ -314,8 +310,8 @@ class Model:
     def rows(f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of both tables for these feature hashes and classes."""
         shift = np.arange(TEMPLATES)[:, None]
-        first = np.vstack([f % BUCKETS + shift * BUCKETS, np.full((1, len(g)), TEMPLATES * BUCKETS)])
-        second = np.vstack([f % MEMBER_BUCKETS + shift * MEMBER_BUCKETS, np.full((1, len(g)), TEMPLATES * MEMBER_BUCKETS)]) * CLASSES + g
+        first = np.vstack([(f & BUCKETS - 1) + shift * BUCKETS, np.full((1, len(g)), TEMPLATES * BUCKETS)])
+        second = np.vstack([(f & MEMBER_BUCKETS - 1) + shift * MEMBER_BUCKETS, np.full((1, len(g)), TEMPLATES * MEMBER_BUCKETS)]) * CLASSES + g
         return first, second
 
     @staticmethod
@@ -323,14 +319,15 @@ class Model:
         """The rows of the third table for these feature hashes and nodes."""
         mixed = (f.astype(np.uint64) + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
         shift = np.arange(TEMPLATES)[:, None] * NODE_BUCKETS
-        return np.vstack([(mixed % np.uint64(NODE_BUCKETS)).astype(np.int64) + shift, TEMPLATES * NODE_BUCKETS + node])
+        return np.vstack([(mixed.view(np.int64) & NODE_BUCKETS - 1) + shift, TEMPLATES * NODE_BUCKETS + node])
 
     def log_probability(self, f: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(member | class) at these positions."""
-        g, m = np.divmod(of, MEMBERS)
+        g = of // MEMBERS
+        m = of - g * MEMBERS
         out = np.empty(len(of))
-        for a in range(0, len(of), 16384):
-            b, part = slice(a, a + 16384), 0.0
+        for a in range(0, len(of), PIECE):
+            b, part = slice(a, a + PIECE), 0.0
             for weights, rows, target in zip((self.first, self.second), self.rows(f[:, b], g[b]), (g[b], m[b])):
                 part = part + chosen(weights, rows, target)
             out[b] = part
@@ -340,8 +337,8 @@ class Model:
         """Natural log of P(token's leaf | member) at each position of f: the sum over its nodes."""
         at, node, child = decisions
         part = np.empty(len(at))
-        for a in range(0, len(at), 16384):
-            b = slice(a, a + 16384)
+        for a in range(0, len(at), PIECE):
+            b = slice(a, a + PIECE)
             part[b] = chosen(self.third, self.node_rows(f[:, at[b]], node[b]), child[b])
         return np.bincount(at, part, f.shape[1])
 
@@ -350,10 +347,8 @@ def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights.take(rows[0], axis=0)
     for row in rows[1:]:
         z += weights.take(row, axis=0)
-    most = z
-    while (n := most.shape[1]) > 1:  # by halves: a maximum along a short axis is slow
-        most = np.maximum(most[:, : (n + 1) // 2], most[:, n // 2 :])
-    z -= most
+    if max(z.max(), -z.min()) > FLAT:
+        z -= np.ascontiguousarray(z.T).max(0)[:, None]  # a maximum along a short axis is slow
     return z
 
 
@@ -364,30 +359,56 @@ def chosen(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndar
     return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
+def summed(row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values of row, the sum of p's rows at each)."""
+    low = row.min()
+    place = row - low
+    most = int(place.max())
+    if most < 64:
+        of_key = np.zeros((len(p), most + 1), np.float32)
+        of_key[np.arange(len(p)), place] = 1
+        keys = np.flatnonzero(np.bincount(place))
+        return keys + low, (of_key.T @ p)[keys]
+    order = np.argsort(place.astype(np.uint16) if most < 1 << 16 else place, kind="stable")  # of 16 bits: by radix
+    place = place[order]
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    many = np.diff(start, append=len(row))
+    capped = np.minimum(many, RANKS + 1).astype(np.uint8)
+    by = np.argsort(RANKS + 1 - capped, kind="stable")  # the keys with most rows first, so those that have one more stand first
+    keys, start, many = place[start[by]] + low, start[by], many[by]
+    more = len(by) - np.cumsum(np.bincount(capped, minlength=RANKS + 2))  # keys of more than so many rows
+    g = p.take(order[start], axis=0)
+    for r in range(1, RANKS):
+        if not (k := int(more[r])):
+            return keys, g
+        g[:k] += p.take(order[start[:k] + r], axis=0)
+    if k := int(more[RANKS]):
+        left = many[:k] - RANKS
+        ends = np.cumsum(left)
+        at = np.arange(ends[-1]) + np.repeat(start[:k] + RANKS - ends + left, left)
+        g[:k] += np.add.reduceat(p.take(order[at], axis=0), ends - left, axis=0)
+    return keys, g
+
+
 def step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step of a softmax over these positions, in place: AdaGrad with one sum of squares for each row."""
-    p = np.exp(logits(weights, rows))
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    p[np.arange(len(target)), target] -= 1
-    columns = np.ascontiguousarray(p.T, np.float64)
+    p = np.empty((len(target), weights.shape[1]), np.float32)
+    for a in range(0, len(target), PIECE):
+        z = logits(weights, rows[:, a : a + PIECE])
+        np.exp(z, out=z)
+        np.einsum("ij,i->ij", z, 1 / (z @ np.ones(z.shape[1], z.dtype)), out=p[a : a + PIECE])
+    p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + target] -= 1
     for row in rows:
-        low = row.min()
-        place = row - low
-        keys = np.flatnonzero(np.bincount(place))
-        if keys[-1] < 64:
-            of_key = np.zeros((len(p), keys[-1] + 1), np.float32)
-            of_key[np.arange(len(p)), place] = 1
-            g = (of_key.T @ p)[keys]
-        else:
-            g = np.stack([np.bincount(place, x)[keys] for x in columns], 1).astype(np.float32)
-        keys += low
-        squares[keys] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        weights[keys] -= (STEP / np.sqrt(squares[keys]))[:, None] * g
+        keys, g = summed(row, p)
+        square = squares.take(keys) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        squares[keys] = square
+        weights[keys] = weights.take(keys, axis=0) - np.einsum("ij,i->ij", g, STEP / np.sqrt(square))
 
 
 def learn(model: Model, squares: tuple[np.ndarray, np.ndarray], f: np.ndarray, of: np.ndarray) -> None:
     for a in range(0, len(of), BATCH):
-        g, m = np.divmod(of[a : a + BATCH], MEMBERS)
+        g = of[a : a + BATCH] // MEMBERS
+        m = of[a : a + BATCH] - g * MEMBERS
         first, second = model.rows(f[:, a : a + BATCH], g)
         step(model.first, squares[0], first, g)
         step(model.second, squares[1], second, m)
@@ -485,9 +506,22 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     classes.size.reshape(CLASSES, MEMBERS)[:, REST] = size
     unknown = np.where(size > 0, (once + 0.5) / (size + 1), 1.0)
     model = train(learned, classes)
-    base = np.log10((classes.count + 0.1) / (n + 0.1 * (v + 1)))
+    mass = n + 0.1 * (v + 1)
+    base = np.log10((classes.count + 0.1) / mass)
+    known_bits = np.log10(np.maximum(1 - unknown, 1e-12))
+    more = commonest(vocabulary, max(NEAR, len(top)))[len(top) :]  # the next in the order of top
+    near = {w: i for i, (w, _) in enumerate(more)}
+    near_count = np.array([c for _, c in more], np.int64)
+    near_leaf = np.array([classes.group(w) * LEAVES + classes.leaf(FREQUENT + crc32(w)) for w, _ in more], np.int64)
+    near_base, near_bits = np.log10((near_count + 0.1) / mass), np.log10(near_count / classes.rest[near_leaf]) + known_bits[near_leaf // LEAVES]
 
     def run(batches):
+        """The rows of texts, with their sums over the tokens that are frequent or near, and of the other tokens: one for each that a text has.
+
+        A text's row has held_out, and in place of a token a key of its own, so that these rows spread: no token has a line end.
+        n, m, base, score: tokens, known ones and both sums of a text; of a token: times, class, nothing and the sum below its member.
+        """
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             at = 0
             for words, starts in blocks(batch.column(1)):
@@ -499,58 +533,51 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 below = model.log_below(f, classes.decisions(symbols, of)) / np.log(10)
                 plain = np.zeros(len(words))
                 plain[common], part[common] = base[symbols[common]], part[common] + below[common]
-                sums = [np.add.reduceat(x.astype(np.float64), starts) for x in (part, plain, common)]
-                sizes = np.diff(np.append(starts, len(words)))
-                token, many, group, under, ends = [], [], [], [], [0]
-                cuts = np.searchsorted(rare, np.append(starts, len(words))).tolist()
-                places, classes_of, bits = rare.tolist(), (of[rare] // MEMBERS).tolist(), below[rare].tolist()
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    own: dict[bytes, list] = {}
-                    for i, g, b in zip(places[lo:hi], classes_of[lo:hi], bits[lo:hi]):
-                        x = own.get(words[i])
-                        if x is None:
-                            own[words[i]] = [1, g, b]
-                        else:
-                            x[0] += 1
-                            x[2] += b
-                    token += own
-                    many += [x[0] for x in own.values()]
-                    group += [x[1] for x in own.values()]
-                    under += [x[2] for x in own.values()]
-                    ends.append(len(token))
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
-                rows = slice(at, at + len(starts))
-                at += len(starts)
+                at_near = np.fromiter(map(near.get, map(words.__getitem__, rare.tolist()), repeat(-1)), np.int64, len(rare))
+                told_here, at_near, rare = rare[at_near >= 0], at_near[at_near >= 0], rare[at_near < 0]
+                common[told_here] = True
+                plain[told_here], part[told_here] = near_base[at_near], part[told_here] + below[told_here] + near_bits[at_near]
+                part, plain, known = (np.add.reduceat(x.astype(np.float64), starts) for x in (part, plain, common))
+                ends = np.append(starts[1:], len(words))
+                cuts = np.searchsorted(rare, np.append(starts, len(words)))
+                token, times, under = [words[i] for i in rare.tolist()], [1] * len(rare), below[rare].tolist()
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if len(set(token[lo:hi])) < hi - lo:
+                        first: dict[bytes, int] = {}
+                        for i in range(lo, hi):
+                            j = first.setdefault(token[i], i)
+                            if i != j:
+                                times[i] = 0
+                                times[j] += 1
+                                under[j] += under[i]
+                own = np.flatnonzero(times)
+                rows = np.arange(row, row + len(starts))
+                text = slice(at, at + len(starts))
+                row, at = row + len(starts), at + len(starts)
+                both = lambda x, y: pa.array(np.concatenate([x, np.array(y, x.dtype)[own]]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], batch.column(2)[rows], pa.array(sizes, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token, pa.binary()).cast(pa.string())), lists(many, pa.int32()), lists(group, pa.int32()), lists(under, pa.float32())],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "token", "k", "g", "under"],
+                    [
+                        both(rows, np.repeat(rows, np.diff(cuts))), pa.array([*(b"\n%d" % i for i in rows.tolist()), *(token[i] for i in own.tolist())], pa.binary()).cast(pa.string()),
+                        *(pa.concat_arrays([batch.column(i)[text], pa.nulls(len(own), batch.column(i).type)]) for i in (0, 2)),
+                        both(ends - starts, times), both(known.astype(np.int64), of[rare] // MEMBERS), both(plain, np.zeros(len(rare))), both(part, under),
+                    ],
+                    names=["row", "token", "doc_id", "held_out", "n", "m", "base", "score"],
                 )
             del batch
         release()
 
-    parts = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, token array<string>, k array<int>, g array<int>, under array<float>")
-    parts = parts.withColumn("row", F.monotonically_increasing_id())
-    # the rare tokens go to their counts, with each document's own sums as one more row beside them
-    own = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("k"), F.lit(0).alias("g"), F.lit(None).cast("float").alias("under")))
-    flat = parts.select("*", F.posexplode(F.concat(own, F.arrays_zip("token", "k", "g", "under"))).alias("i", "t")).select(
-        "row", F.col("t.token").alias("token"), F.col("t.k").alias("k"), F.col("t.g").alias("g"), F.col("t.under").alias("under"), *[F.when(F.col("i") == 0, F.col(x)).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")]
-    )
-    flat = flat.withColumn("salted", F.coalesce("token", F.concat(F.lit("\n"), F.col("row").cast("string"))))  # rows without token spread
-    unknown_bits = F.array(*[F.lit(float(np.log10(unknown[g]))) for g in range(CLASSES)])
-    known_bits = F.array(*[F.lit(float(np.log10(max(1 - unknown[g], 1e-12)))) for g in range(CLASSES)])
-    in_leaf = F.log10(F.col("c") / F.col("size")) + F.get(known_bits, F.floor(F.col("leaf") / LEAVES).cast("int"))
-    told = rest.join(F.broadcast(leaves), "leaf").select(F.col("token").alias("salted"), "c", in_leaf.alias("in_leaf"))
-    joined = flat.join(told, "salted", "left")
-    scored = joined.select(
-        "row", "doc_id", "held_out", "n_tokens", "k", "n_known", "base_score", "score",
-        F.when(F.col("token").isNotNull(), F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(n + 0.1 * (v + 1))))).alias("base_more"),
-        F.when(F.col("token").isNotNull(), F.col("k") * F.when(F.col("c").isNull(), F.get(unknown_bits, F.col("g"))).otherwise(F.col("in_leaf")) + F.when(F.col("c").isNull(), 0.0).otherwise(F.col("under"))).alias("more"),
-        F.when(F.col("c").isNotNull(), F.col("k")).alias("seen"),
+    parts = docs.mapInArrow(run, "row long, token string, doc_id long, held_out boolean, n long, m long, base double, score double")
+    unknown_bits = F.array(*map(F.lit, np.log10(unknown).tolist()))
+    in_leaf = F.log10(F.col("c") / F.col("size")) + F.get(F.array(*map(F.lit, known_bits.tolist())), F.floor(F.col("leaf") / LEAVES).cast("int"))
+    told = rest.join(F.broadcast(leaves), "leaf").select("token", F.log10((F.col("c") + 0.1) / F.lit(mass)).alias("plain"), in_leaf.alias("in_leaf"))
+    text, told_of = F.col("held_out").isNotNull(), F.col("plain").isNotNull()
+    scored = parts.join(told, "token", "left").select(
+        "row", "doc_id", "held_out", F.when(text, F.col("n")).alias("n_tokens"),
+        F.when(text, F.col("m")).when(told_of, F.col("n")).otherwise(0).alias("n_known"),
+        F.when(text, F.col("base")).otherwise(F.col("n") * F.coalesce("plain", F.lit(float(np.log10(0.1 / mass))))).alias("base"),
+        F.when(text, F.col("score")).when(told_of, F.col("n") * F.col("in_leaf") + F.col("score")).otherwise(F.col("n") * F.get(unknown_bits, F.col("m").cast("int"))).alias("score"),
     )
-    s = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
     return scored.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("n_known"), F.lit(0)) + F.coalesce(F.sum("seen"), F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (s("base_score") + s("base_more")).alias("base_score"), (s("score") + s("more")).alias("score"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     ).drop("row")
-

@@ -132,6 +132,37 @@ def test_maxent_lm_predicts_tokens_beyond_a_class_commonest(spark, monkeypatch):
     assert got[-1] > got[-2] + 1 and got[-3] > got[-4] + 1
 
 
+def test_maxent_lm_sums_gradients_by_bucket():
+    """The sums of a step are those of a plain loop, for buckets met once, a few times and very often."""
+    rng = np.random.default_rng(5)
+    p = rng.standard_normal((5000, 16)).astype(np.float32)
+    for row in (rng.integers(70, 4000, 5000), 9 + np.minimum(rng.zipf(1.3, 5000), 80_000), rng.integers(3, 9, 5000), np.full(5000, 7), np.arange(5000) * 40):
+        keys, got = maxent_lm.summed(row, p)
+        want = np.zeros((row.max() + 1, 16))
+        np.add.at(want, row, p)
+        assert sorted(keys) == sorted(set(row)) and np.abs(got - want[keys]).max() < 1e-3
+    weights = np.array([[500.0, -500, 499, 0], [1, 2, 3, 4]], np.float32)  # powers of e beyond a float
+    assert np.allclose(maxent_lm.chosen(weights, np.array([[0, 1]]), np.array([0, 3])), [-np.log(1 + np.exp(-1)), -np.log(np.exp(np.arange(-3, 1)).sum())], atol=1e-5)
+
+
+def test_maxent_lm_near_counts_change_nothing(spark, monkeypatch):
+    """The same rows whether workers have the counts of all tokens, of some, or only those with own symbols; a text that repeats a rare token too."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(400)], k=rng.randint(0, 80))) + f" once{i} again{i} again{i}" for i in range(300)] + [None, "", "new new new again7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).localCheckpoint()
+    monkeypatch.setattr(maxent_lm.commonest, "__defaults__", (60,))
+    got = []
+    for near in (0, 150, 100_000):
+        monkeypatch.setattr(maxent_lm, "NEAR", near)
+        got.append({r["doc_id"]: r for r in maxent_lm.score(df, F.col("doc_id") % 10 == 0).collect()})
+    assert len(got[0]) == len(texts)
+    for other in got[1:]:
+        for i, r in got[0].items():
+            assert [r[x] for x in ("held_out", "n_tokens", "n_known", "train_tokens")] == [other[i][x] for x in ("held_out", "n_tokens", "n_known", "train_tokens")]
+            assert abs(r["score"] - other[i]["score"]) < 1e-3 and abs(r["base_score"] - other[i]["base_score"]) < 1e-9
+
+
 @pytest.mark.parametrize("broadcast", [0, 50_000])
 def test_html_differences_inside_articles(spark, monkeypatch, broadcast):
     monkeypatch.setattr(html_text, "BROADCAST_ROWS", broadcast)
