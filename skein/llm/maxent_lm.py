@@ -116,7 +116,7 @@ def company(docs: DataFrame, top: list[bytes]) -> np.ndarray:
         met = np.zeros((SIGNED, ANCHORS), np.int64)
         for batch in batches:
             for words, starts in blocks(batch.column(0)):
-                own = np.array([index.get(w, -1) for w in words], np.int64)
+                own = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
                 row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))[own >= 0]
                 for a in range(0, len(starts), 256):  # documents in pieces
                     lo, hi = np.searchsorted(row, [a, a + 256])
@@ -228,6 +228,14 @@ class Classes:
             g = s.get(word[-2:])
         return s.get(word[-1:], 0) if g is None else g
 
+    def groups(self, words) -> np.ndarray:
+        """The group of each of these."""
+        words = [*words]
+        out = np.fromiter(map(self.suffix.get, map(LAST, words), repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(out < 0).tolist():  # an ending of three bytes that no frequent token has
+            out[i] = self.group(words[i])
+        return out
+
     def coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, class * MEMBERS + member, places of the tokens that aren't frequent); those are hashed by themselves."""
         symbols = np.fromiter(map(self.symbol.get, words, repeat(-1)), np.int64, len(words))
@@ -238,10 +246,7 @@ class Classes:
         if len(rare):
             own = [words[i] for i in rare.tolist()]
             symbols[rare] = np.fromiter(map(crc32, own), np.int64, len(own)) + FREQUENT
-            groups = np.fromiter(map(self.suffix.get, map(LAST, own), repeat(-1)), np.int64, len(own))
-            for i in np.flatnonzero(groups < 0).tolist():  # an ending of three bytes that no frequent token has
-                groups[i] = self.group(own[i])
-            of[rare] += groups * MEMBERS
+            of[rare] += self.groups(own) * MEMBERS
         return symbols, of, rare
 
 
@@ -491,9 +496,9 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def of_leaf(batches):
         for batch in batches:
-            words = [(w or "").encode() for w in batch.column(0).to_pylist()]
-            leaf = [classes.group(w) * LEAVES + classes.leaf(FREQUENT + crc32(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["token", "c", "leaf"])
+            words = batch.column(0).cast(pa.binary()).to_pylist()
+            leaf = classes.groups(words) * LEAVES + classes.leaf(FREQUENT + np.fromiter(map(crc32, words), np.int64, len(words)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=["token", "c", "leaf"])
 
     rest = checkpoint(vocabulary.join(F.broadcast(known), "token", "left_anti").mapInArrow(of_leaf, "token string, c long, leaf int"))  # known: FREQUENT rows at most
     leaves = rest.groupBy("leaf").agg(F.sum("c").alias("size"), F.count_if(F.col("c") == 1).alias("h"))  # CLASSES * LEAVES rows at most
@@ -512,7 +517,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     more = commonest(vocabulary, max(NEAR, len(top)))[len(top) :]  # the next in the order of top
     near = {w: i for i, (w, _) in enumerate(more)}
     near_count = np.array([c for _, c in more], np.int64)
-    near_leaf = np.array([classes.group(w) * LEAVES + classes.leaf(FREQUENT + crc32(w)) for w, _ in more], np.int64)
+    near_leaf = classes.groups(near) * LEAVES + classes.leaf(FREQUENT + np.fromiter(map(crc32, near), np.int64, len(near)))
     near_base, near_bits = np.log10((near_count + 0.1) / mass), np.log10(near_count / classes.rest[near_leaf]) + known_bits[near_leaf // LEAVES]
 
     def run(batches):
